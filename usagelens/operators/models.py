@@ -25,6 +25,7 @@ from usagelens.functions.cuts import border_rows, bucket, tie_key
 from usagelens.functions.orderstats import RankPolicy
 from usagelens.operators.scoring import SCORE_FEATURES
 from usagelens.schema import DEFAULT, SessionSchema
+from usagelens.workspace import allow_rdd_checkpoints
 
 TARGET = "satisfaction_score"
 PREDICTION = "predicted_satisfaction"
@@ -202,6 +203,7 @@ def fit_model(df: DataFrame, name: str, features: Sequence[str] = SCORE_FEATURES
     settings = {**CANDIDATES[name], **(params or {})}
     if name == "ridge":
         return fit_ridge(df, features, target, settings["alpha"])
+    allow_rdd_checkpoints(df.sparkSession)
     return _forest(name, features, target, settings, seed).fit(
         _right_sized(df.select(*features, target)))
 
@@ -253,7 +255,7 @@ def regression_metrics(scored: DataFrame, target: str = TARGET,
 
 def forest_cv(df: DataFrame, key: str, name: str, features: Sequence[str] = SCORE_FEATURES,
               target: str = TARGET, params: Mapping[str, Any] | None = None,
-              folds: int = FOLDS, mode: str = "contiguous", parallelism: int = 2,
+              folds: int = FOLDS, mode: str = "contiguous", parallelism: int = FOLDS,
               policy: RankPolicy = RankPolicy()) -> DataFrame:
     """RMSE of a tree model on each fold; folds are fitted side by side."""
     table = with_fold(df.select(key, *features, target), key, folds, mode, policy)

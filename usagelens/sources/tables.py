@@ -14,13 +14,16 @@ _MODES = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
 
 
 def export_table(df: DataFrame, name: str, if_exists: str = "replace",
-                 jdbc: Mapping[str, str] | None = None) -> bool:
-    """Write a table; True once written, any failure raises."""
+                 jdbc: Mapping[str, str] | None = None, path: str | None = None) -> bool:
+    """Write a table; True once written, any failure raises.
+
+    ``path`` places a catalog table outside the warehouse folder.
+    """
     if if_exists not in _MODES:
         raise ValueError(f"if_exists must be one of {', '.join(_MODES)}")
     writer = df.write.mode(_MODES[if_exists])
     if jdbc is None:
-        writer.saveAsTable(name)
+        (writer.option("path", path) if path else writer).saveAsTable(name)
     else:
         # batched inserts from every partition; numPartitions caps the connections
         writer.format("jdbc").options(**{"batchsize": "10000", **jdbc, "dbtable": name}).save()

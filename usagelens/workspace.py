@@ -56,3 +56,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if splits < cores else df
+
+
+def allow_rdd_checkpoints(spark: SparkSession) -> None:
+    """Let ``pyspark.ml`` cut the lineage of boosting rounds; keeps a folder already set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
