@@ -1,7 +1,8 @@
 """Registered queries: Spark side, SQL side, and the columns both must return.
 
 Column lists are ``name``, ``name:int``, ``name:long``, ``name:text`` or
-``name:<digits>`` (rounded).  The same list shapes both sides.
+``name:<digits>`` (rounded with a nudge, see below) or ``name:r<digits>``
+(an operator that rounds by itself).  The same list shapes both sides.
 """
 
 from __future__ import annotations
@@ -49,19 +50,31 @@ class Query:
             return df
         kinds = {"": lambda c: c, "int": lambda c: c.cast("int"), "long": lambda c: c.cast("long"),
                  "text": lambda c: c.cast("string")}
-        return df.select(*[
-            kinds.get(kind, lambda c: F.round(c.cast("double") + nudge(kind), int(kind)) + 0.0)(
-                F.col(name)).alias(name) for name, kind in self._specs()])
+
+        def shaped(c, kind: str):
+            if kind in kinds:
+                return kinds[kind](c)
+            if kind.startswith("r"):
+                return F.round(c.cast("double"), int(kind[1:])) + 0.0
+            return F.round(c.cast("double") + nudge(kind), int(kind)) + 0.0
+
+        return df.select(*[shaped(F.col(name), kind).alias(name) for name, kind in self._specs()])
 
     def sql(self) -> str | None:
         if self.final is None:
             return None
         kinds = {"": "{0}", "int": "CAST({0} AS INTEGER)", "long": "CAST({0} AS BIGINT)",
                  "text": "CAST({0} AS VARCHAR)"}
-        picked = ", ".join(
-            (kinds[kind] if kind in kinds else
-             f"round(CAST({{0}} AS DOUBLE) + {nudge(kind)!r}, {kind}) + 0.0").format(f'"{name}"')
-            + f' AS "{name}"' for name, kind in self._specs())
+
+        def shaped(kind: str) -> str:
+            if kind in kinds:
+                return kinds[kind]
+            if kind.startswith("r"):
+                return f"round(CAST({{0}} AS DOUBLE), {kind[1:]}) + 0.0"
+            return f"round(CAST({{0}} AS DOUBLE) + {nudge(kind)!r}, {kind}) + 0.0"
+
+        picked = ", ".join(shaped(kind).format(f'"{name}"') + f' AS "{name}"'
+                           for name, kind in self._specs())
         with_clause = "WITH " + ",\n".join(self.ctes) + "\n" if self.ctes else ""
         return f"{with_clause}SELECT {picked} FROM (\n{self.final}\n) result"
 
@@ -289,7 +302,7 @@ sessions_query("basic_metrics",
                "count(*) - count(value) AS missing FROM l "
                "WHERE variable NOT IN ('bearer_id', 'user_id') GROUP BY variable", _ALL)
 sessions_query("dispersion", statistics.dispersion,
-               "variable q1:3 q3:3 iqr:3 range:3 cv_pct:2",
+               "variable q1:5 q3:5 iqr:5 range:5 cv_pct:r2",
                "SELECT variable, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, "
                "quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, "
                "max(value) - min(value) AS range, "
@@ -314,7 +327,7 @@ sessions_query("histogram_by_group",
 
 _APP_VOLUME = {a: f"coalesce({a}_dl, 0) + coalesce({a}_ul, 0)" for a in S.APPS}
 sessions_query("app_total_correlation", statistics.app_total_correlation,
-               "application correlation:4",
+               "application correlation:r4",
                " UNION ALL ".join(f"SELECT '{a}' AS application, "
                                   f"corr({v}, total_dl + total_ul) AS correlation FROM s"
                                   for a, v in _APP_VOLUME.items()))
@@ -493,9 +506,9 @@ def engagement_report(operator):
 
 
 query("engagement_segments",
-      "cluster classification users:long users_pct:1 sessions_min:long sessions_max:long "
-      "sessions_avg:2 sessions_total:long duration_avg_hours:2 traffic_avg_mb:2 "
-      "traffic_total_gb:2 traffic_pct:1", ENGSEG,
+      "cluster classification users:long users_pct:r1 sessions_min:long sessions_max:long "
+      "sessions_avg:r2 sessions_total:long duration_avg_hours:r2 traffic_avg_mb:r2 "
+      "traffic_total_gb:r2 traffic_pct:r1", ENGSEG,
       "SELECT 'Cluster ' || engagement_cluster AS cluster, label AS classification, user_count AS "
       "users, user_pct AS users_pct, sessions_frequency_min AS sessions_min, "
       "sessions_frequency_max AS sessions_max, sessions_frequency_mean AS sessions_avg, "
@@ -571,12 +584,12 @@ def ends_sql(metric: str) -> str:
             f"(SELECT h AS lo_h, v AS lo_v FROM {inner} ORDER BY v, h LIMIT 1)")
 
 
-query("throughput_gap", "best_handset worst_handset gap:1", S.clean_experience(),
+query("throughput_gap", "best_handset worst_handset gap:r1", S.clean_experience(),
       "SELECT hi_h AS best_handset, lo_h AS worst_handset, CASE WHEN lo_v > 0 THEN "
       f"round(hi_v / lo_v, 1) ELSE CAST('inf' AS DOUBLE) END AS gap "
       f"FROM {ends_sql('avg_throughput_kbps')}")(
     lambda spark, d: ranking.throughput_gap(plan(spark, d, "experience").experience))
-query("tcp_gap", "worst_handset best_handset gap:1", S.clean_experience(),
+query("tcp_gap", "worst_handset best_handset gap:r1", S.clean_experience(),
       "SELECT hi_h AS worst_handset, lo_h AS best_handset, round(hi_v / greatest(lo_v, 1), 0) AS gap "
       f"FROM {ends_sql('avg_tcp_retransmission')}")(
     lambda spark, d: ranking.tcp_gap(plan(spark, d, "experience").experience))
@@ -636,14 +649,14 @@ query("experience_boxes", f"experience_cluster:int metric {BOX_SPEC}", EXPC,
           + ")", "box") + ")")(
     experience_table(clustering.cluster_boxes, EXPERIENCE_METRICS))
 query("experience_segments",
-      "cluster classification users:long users_pct:1 tcp_avg:1 tcp_max:1 rtt_avg:1 rtt_max:1 "
-      "throughput_avg:1 throughput_max:1", EXPSEG,
+      "cluster classification users:long users_pct:r1 tcp_avg:r1 tcp_max:r1 rtt_avg:r1 "
+      "rtt_max:r1 throughput_avg:r1 throughput_max:r1", EXPSEG,
       "SELECT 'Cluster ' || experience_cluster AS cluster, label AS classification, user_count AS "
       "users, user_pct AS users_pct, " + ", ".join(
           f"{m}_{s} AS {short}_{n}" for m, short in zip(S.EXP, ("tcp", "rtt", "throughput"))
           for s, n in (("mean", "avg"), ("max", "max"))) + f" FROM {_EJOINED}")(
     experience_report(reports.experience_segments))
-query("experience_key_finding", "poor_user_pct:6 good_user_pct:6 tcp_gap:0 throughput_gap:1",
+query("experience_key_finding", "poor_user_pct:6 good_user_pct:6 tcp_gap:r0 throughput_gap:r1",
       EXPSEG,
       "SELECT p.user_pct AS poor_user_pct, g.user_pct AS good_user_pct, "
       "round(p.avg_tcp_retransmission_mean / greatest(g.avg_tcp_retransmission_mean, 1), 0) AS "

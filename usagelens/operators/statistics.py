@@ -15,9 +15,16 @@ from usagelens.functions.orderstats import RankPolicy, quantiles
 from usagelens.schema import DEFAULT, SessionSchema
 
 
+BROADCAST_ROWS = 100_000
+
+
 def small_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """A driver-built table (one row per column or group), broadcast in joins."""
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    """A driver-built table (one row per column or group).
+
+    Broadcast in joins while its row count allows; beyond that Spark picks the join.
+    """
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
 
 
 def _with_quantiles(stats: DataFrame, long: DataFrame, names: Sequence[str],
@@ -218,11 +225,11 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50,
                           F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     if by:
         frame = frame.join(counts.select("variable", by).distinct(), "variable")
-    found = counts.select(F.col("variable").alias("v"), F.col("bin").alias("b"), "count",
-                          *[F.col(c).alias("g") for c in keep])
-    same = (F.col("variable") == F.col("v")) & (F.col("bin") == F.col("b"))
+    found = counts.select(F.col("variable").alias("_variable"), F.col("bin").alias("_bin"),
+                          "count", *[F.col(c).alias("_group") for c in keep])
+    same = (F.col("variable") == F.col("_variable")) & (F.col("bin") == F.col("_bin"))
     if by:
-        same = same & F.col(by).eqNullSafe(F.col("g"))
+        same = same & F.col(by).eqNullSafe(F.col("_group"))
     edge = F.col("start") + F.col("bin") * F.col("width")
     return frame.join(found, same, "left").select(
         "variable", *keep, "bin", edge.alias("bin_start"),
