@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from usagelens.functions.orderstats import RankPolicy, order_statistics
 
+FEW_TIES = 10_000
+
 
 @dataclass(frozen=True)
 class Border:
@@ -55,6 +57,12 @@ def border_rows(df: DataFrame, value: Column, tie: Column, hints: Sequence[float
         [(c.value, i) for i, c in split.items()], schema))
     tied = rows.join(wanted, "value").select("variable", F.col("tie").alias("value"))
     order = list(split)
+    if sum(c.ties for c in split.values()) <= FEW_TIES:  # counted above, so known to be few
+        keys: dict[int, list] = {}
+        for r in tied.collect():
+            keys.setdefault(r.variable, []).append(r.value)
+        return [Border(c.value, sorted(keys[i])[c.rank - c.below - 1] if i in split else None)
+                for i, c in enumerate(cuts)]
     among = order_statistics(
         tied, [(split[i].rank - split[i].below) / split[i].ties for i in order],
         lambda i, _: [(order.index(i), split[i].rank - split[i].below,
