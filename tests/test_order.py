@@ -3,7 +3,6 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from usagelens.functions.orderstats import RankPolicy, exact_quantiles, order_statistics
 from usagelens.operators.models import with_fold

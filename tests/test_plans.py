@@ -6,7 +6,6 @@ import pytest
 
 from conftest import TESTDATA, plan_text
 from usagelens.operators import cleaning, features, ranking, segments, statistics
-from usagelens.schema import APPLICATIONS, DEFAULT
 from usagelens.sources.warehouse import session_view
 
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="no test data")

@@ -1,9 +1,7 @@
-import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from usagelens.operators import features, ranking, reports
+from usagelens.operators import ranking, reports
 
 
 def test_top_handsets_match_pandas(sessions, raw):

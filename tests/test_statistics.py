@@ -3,7 +3,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from usagelens.functions.long import to_long
 from usagelens.operators import components, statistics
 from usagelens.schema import DEFAULT
 
