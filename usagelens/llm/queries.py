@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from usagelens.llm import bpe, chat, pii, sharding, simhash, tokenfile
-from usagelens.llm.common import prepare, table, unsigned_hex, whole_text
+from usagelens.llm import (bpe, chat, decontaminate, neighbours, pii, quality, sharding, simhash,
+                            tokenfile, toxicity)
+from usagelens.llm.common import table, unsigned_hex, whole_text
 
 
 def op1_simhash(spark: SparkSession, directory: str) -> DataFrame:
@@ -54,12 +55,31 @@ def op4_bpe(spark: SparkSession, directory: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.grade_documents(table(spark, directory, "documents"),
+                                    table(spark, directory, "labels"))
+
+
+def op6_quality(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.classify(table(spark, directory, "documents"),
+                            table(spark, directory, "labels"))
+
+
+def op7_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    return neighbours.search(table(spark, directory, "embeddings"))
+
+
 def op8_tokenfile(spark: SparkSession, directory: str) -> DataFrame:
     manifest = tokenfile.write(table(spark, directory, "documents"))
     return tokenfile.read(spark, manifest).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, directory, "documents"),
+                                        table(spark, directory, "benchmark"))
+
+
 def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
     found = table(spark, directory, "documents").select(
         "doc_id", pii.find(whole_text()).alias("found"))
@@ -70,5 +90,6 @@ def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_sharding, op3_chat, op4_bpe, op8_tokenfile, op10_pii)}
+    f.__name__: f for f in (op1_simhash, op2_sharding, op3_chat, op4_bpe, op5_toxicity, op6_quality, op7_neighbours,
+                            op8_tokenfile, op9_decontamination, op10_pii)}
 ORACLES: dict[str, str] = {"op3_chat": CHAT_SQL}
