@@ -25,7 +25,8 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.llm.common import whole_text
 
@@ -172,16 +173,19 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, match: int = MATC
     return found
 
 
+def _leaks(text: Column, index: Broadcast, coverage: float) -> Column:
+    @F.arrow_udf("boolean")
+    def leaks(texts: pa.Array) -> pa.Array:
+        return pa.array([any(f[3] >= coverage for f in index.value.found(t or ""))
+                         for t in texts.to_pylist()], pa.bool_())
+
+    return leaks(text)
+
+
 def clean(documents: DataFrame, benchmark: DataFrame, match: int = MATCH,
           coverage: float = COVERAGE) -> DataFrame:
     """The documents that no item contaminates."""
     for block in blocks_of(benchmark, match):
         index = documents.sparkSession.sparkContext.broadcast(block)
-
-        @F.arrow_udf("boolean")
-        def leaks(texts: pa.Array, index=index) -> pa.Array:
-            return pa.array([any(f[3] >= coverage for f in index.value.found(t or ""))
-                             for t in texts.to_pylist()], pa.bool_())
-
-        documents = documents.where(~leaks(F.col("text")))
+        documents = documents.where(~_leaks(F.col("text"), index, coverage))
     return documents
