@@ -1,12 +1,13 @@
 """Registered queries: Spark side, SQL side, and the columns both must return.
 
 Column lists are ``name``, ``name:int``, ``name:long``, ``name:text`` or
-``name:<digits>`` (rounded with a nudge, see below) or ``name:r<digits>``
-(an operator that rounds by itself).  The same list shapes both sides.
+``name:<digits>`` (rounded with a nudge, see below), ``name:r<digits>`` (an operator
+that rounds by itself) or ``name:s<digits>`` (significant digits).  The same list shapes both sides.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import partial
@@ -14,6 +15,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import sql as S
+from checks.session import cleaned_sessions, ensure_scratch
 from usagelens.functions.long import to_long
 from usagelens.operators import (cleaning, clustering, components, features, models, ranking,
                                  reports, scoring, segments, statistics)
@@ -45,6 +47,7 @@ class Query:
         return [tuple((*c.split(":"), "")[:2]) for c in self.columns.split()]
 
     def frame(self, spark: SparkSession, directory: str) -> DataFrame:
+        ensure_scratch(spark)
         df = self.run(spark, directory)
         if self.columns is None:
             return df
@@ -56,6 +59,9 @@ class Query:
                 return kinds[kind](c)
             if kind.startswith("r"):
                 return F.round(c.cast("double"), int(kind[1:])) + 0.0
+            if kind.startswith("s"):
+                unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.nullif(c, F.lit(0.0))))))
+                return F.coalesce(F.round(c / unit, int(kind[1:]) - 1) * unit, c)
             return F.round(c.cast("double") + nudge(kind), int(kind)) + 0.0
 
         return df.select(*[shaped(F.col(name), kind).alias(name) for name, kind in self._specs()])
@@ -71,11 +77,14 @@ class Query:
                 return kinds[kind]
             if kind.startswith("r"):
                 return f"round(CAST({{0}} AS DOUBLE), {kind[1:]}) + 0.0"
+            if kind.startswith("s"):
+                unit = "pow(10.0, floor(log10(abs(nullif({0}, 0)))))"
+                return f"coalesce(round({{0}} / {unit}, {int(kind[1:]) - 1}) * {unit}, {{0}})"
             return f"round(CAST({{0}} AS DOUBLE) + {nudge(kind)!r}, {kind}) + 0.0"
 
         picked = ", ".join(shaped(kind).format(f'"{name}"') + f' AS "{name}"'
                            for name, kind in self._specs())
-        with_clause = "WITH " + ",\n".join(self.ctes) + "\n" if self.ctes else ""
+        with_clause = "WITH RECURSIVE " + ",\n".join(self.ctes) + "\n" if self.ctes else ""
         return f"{with_clause}SELECT {picked} FROM (\n{self.final}\n) result"
 
 
@@ -97,10 +106,17 @@ def sessions_query(name: str, operator: Callable[[DataFrame], DataFrame], column
                            [S.SESSIONS, *ctes], final)
 
 
+def cleaned_query(name: str, operator: Callable[[DataFrame], DataFrame], columns: str,
+                  final: str, ctes: Sequence[str] = ()) -> None:
+    """A query that is one operator applied to the cleaned sessions."""
+    REGISTRY[name] = Query(lambda spark, d: operator(cleaned_sessions(spark, d)), columns,
+                           [*S.CLEANED, *ctes], final)
+
+
 def plan(spark: SparkSession, directory: str, *parts: str, method: str = "lloyd",
          **kwargs) -> UsagePlan:
-    return UsagePlan(session_view(spark, directory), parts=parts or ("engagement", "experience"),
-                     method=method, **kwargs)
+    return UsagePlan(cleaned_sessions(spark, directory), cleaned=True,
+                     parts=parts or ("engagement", "experience"), method=method, **kwargs)
 
 
 def rounded_experience(spark: SparkSession, directory: str) -> DataFrame:
@@ -124,26 +140,16 @@ sessions_query("load_sessions", lambda s: s,
 
 
 @query("field_dictionary", "variable kind description dtype filled:long", [S.SESSIONS],
-       "SELECT * FROM (VALUES "
-       + ", ".join(f"('{v}', '{k}', '{t.replace(chr(39), chr(39) * 2)}')"
-                   for names, k, t in statistics.FIELD_MEANINGS for v in names.split(" / "))
-       + ") d(variable, kind, description) JOIN (SELECT * FROM (VALUES "
-       + ", ".join(f"('{c}', '{t}', '{c}')" for c, t in
-                   [("bearer_id", "bigint"), ("user_id", "bigint"),
-                    ("handset_manufacturer", "string"), ("handset_type", "string"),
-                    *[(c, "double") for c in S.MEASURES]])
-       + ") t(variable, dtype, own)) USING (variable) JOIN ("
-       + " UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS filled FROM s" for c in
-                            ["bearer_id", "user_id", "handset_manufacturer", "handset_type",
-                             *S.MEASURES]) + ") n USING (variable)")
+       S.FIELD_DICTIONARY)
 def _field_dictionary(spark, d):
     return statistics.field_dictionary(session_view(spark, d))
 
 
+ROW_SPEC = f"bearer_id:long user_id:long {QUALITY_SPEC} {doubles(GRAINED, 4)}"
 sessions_query("impute_numeric_mean",
-               lambda s: cleaning.impute(s.select("bearer_id", "user_id", "dur_ms", *S.QUALITY)),
-               f"bearer_id:long user_id:long {QUALITY_SPEC}", "SELECT * FROM i",
-               S.imputed(["dur_ms", *S.QUALITY], ["bearer_id", "user_id"]))
+               lambda s: cleaning.impute(s.select("bearer_id", "user_id", *S.MEASURES)), ROW_SPEC,
+               "SELECT * REPLACE (trunc(user_id) AS user_id) FROM i",
+               S.imputed(["user_id", *S.MEASURES], ["bearer_id"]))
 
 sessions_query("impute_category_mode",
                lambda s: cleaning.impute(s.select("bearer_id", "user_id", "handset_manufacturer",
@@ -155,10 +161,8 @@ sessions_query("impute_category_mode",
                            for c in ("handset_manufacturer", "handset_type")) + " FROM s")
 
 sessions_query("outlier_iqr_replace",
-               lambda s: cleaning.replace_outliers(
-                   s.select("bearer_id", "user_id", "dur_ms", *S.QUALITY)),
-               f"bearer_id:long user_id:long {QUALITY_SPEC}", "SELECT * FROM c",
-               S.fenced(["dur_ms", *S.QUALITY], ["bearer_id", "user_id"], "s"))
+               lambda s: cleaning.replace_outliers(s.select("bearer_id", "user_id", *S.MEASURES)),
+               ROW_SPEC, "SELECT * FROM c", S.fenced(S.MEASURES, ["bearer_id", "user_id"], "s"))
 
 sessions_query("total_data",
                lambda s: cleaning.add_total(s.select("bearer_id", "user_id", "total_dl",
@@ -188,20 +192,18 @@ sessions_query("summarize_numeric", statistics.summarize,
                ["l AS (" + S.long_form(["bearer_id", "user_id", *S.MEASURES]) + ")"])
 
 
-@query("clean_sessions", f"{ID} {QUALITY_SPEC} {doubles([*GRAINED, 'total_data'], 4)}",
-       S.cleaned(S.MEASURES, ["bearer_id", "user_id", "start_ts"],
-                 ["handset_manufacturer", "handset_type"]),
-       "SELECT *, total_dl + total_ul AS total_data FROM c")
+CLEAN_SPEC = f"{ID} {QUALITY_SPEC} {doubles([*GRAINED, 'total_data'], 4)}"
+
+
+@query("clean_sessions", CLEAN_SPEC, S.CLEANED, "SELECT * FROM s")
 def _clean_sessions(spark, d):
     return cleaning.clean(session_view(spark, d))
 
 
-@query("cleaned_roundtrip", f"user_id:long handset_type {doubles(S.QUALITY, 6)}",
-       S.cleaned(S.QUALITY, ["user_id"], ["handset_type"]), "SELECT * FROM c")
+@query("cleaned_roundtrip", CLEAN_SPEC, S.CLEANED, "SELECT * FROM s")
 def _cleaned_roundtrip(spark, d):
     path = scratch_path(spark, "cleaned")
-    slice_ = partial(lambda: session_view(spark, d).select("user_id", "handset_type", *S.QUALITY))
-    files.load_or_create_cleaned(spark, path, slice_)
+    files.load_or_create_cleaned(spark, path, lambda: session_view(spark, d))
 
     def never():
         raise AssertionError("the stored table must be used")
@@ -212,16 +214,16 @@ ENG_SPEC = ("user_id:long sessions_frequency:long total_duration_ms:2 total_dl_b
             "total_ul_bytes:2 total_traffic_bytes:2")
 
 
-@query("feature_roundtrip", ENG_SPEC, [S.SESSIONS, S.engagement()], "SELECT * FROM eng")
+@query("feature_roundtrip", ENG_SPEC, [*S.CLEANED, S.engagement()], "SELECT * FROM eng")
 def _feature_roundtrip(spark, d):
     path = scratch_path(spark, "feature")
-    files.save_feature(features.user_engagement(session_view(spark, d)), path)
+    files.save_feature(features.user_engagement(cleaned_sessions(spark, d)), path)
     return files.load_feature(spark, path)
 
 
 # -- per-user features -------------------------------------------------------
 
-sessions_query("user_overview", features.user_overview,
+cleaned_query("user_overview", features.user_overview,
                "user_id:long sessions_count:long total_duration_ms:2 total_dl_bytes:2 "
                "total_ul_bytes:2 total_data_bytes:2 "
                + doubles([f"{c}_sum" for c in S.APP_COLUMNS], 2)
@@ -230,25 +232,25 @@ sessions_query("user_overview", features.user_overview,
                "LEFT JOIN last_handset_manufacturer m USING (user_id) "
                "LEFT JOIN last_handset_type t USING (user_id)",
                [S.overview(), *S.last_handset()])
-sessions_query("user_last_handset", features.user_last_handset,
+cleaned_query("user_last_handset", features.user_last_handset,
                "user_id:long handset_manufacturer handset_type",
                "SELECT u.user_id, m.handset_manufacturer, t.handset_type "
-               "FROM (SELECT DISTINCT user_id FROM s) u "
+               "FROM (SELECT DISTINCT user_id FROM s WHERE user_id IS NOT NULL) u "
                "LEFT JOIN last_handset_manufacturer m USING (user_id) "
                "LEFT JOIN last_handset_type t USING (user_id)", S.last_handset())
-sessions_query("user_engagement", features.user_engagement, ENG_SPEC, "SELECT * FROM eng",
+cleaned_query("user_engagement", features.user_engagement, ENG_SPEC, "SELECT * FROM eng",
                [S.engagement()])
-sessions_query("user_app_traffic", features.user_app_traffic,
+cleaned_query("user_app_traffic", features.user_app_traffic,
                "user_id:long " + doubles([f"{a}_total_bytes" for a in S.APPS], 2),
                "SELECT * FROM app", [S.traffic()])
 EXP_SPEC = ("user_id:long avg_tcp_dl_retrans:4 avg_tcp_ul_retrans:4 avg_rtt_dl_ms:4 "
             "avg_rtt_ul_ms:4 avg_throughput_dl_kbps:4 avg_throughput_ul_kbps:4 "
             "avg_tcp_retransmission:4 avg_rtt_ms:4 avg_throughput_kbps:4 handset_type")
-sessions_query("user_experience", features.user_experience, EXP_SPEC, "SELECT * FROM exp",
-               S.experience("s"))
-sessions_query("user_modal_handset", features.user_modal_handset, "user_id:long handset_type",
+cleaned_query("user_experience", features.user_experience, EXP_SPEC, "SELECT * FROM exp",
+               S.experience())
+cleaned_query("user_modal_handset", features.user_modal_handset, "user_id:long handset_type",
                "SELECT u.user_id, coalesce(m.handset_type, 'Unknown') AS handset_type "
-               "FROM (SELECT DISTINCT user_id FROM s) u LEFT JOIN modal m USING (user_id)",
+               "FROM (SELECT DISTINCT user_id FROM s WHERE user_id IS NOT NULL) u LEFT JOIN modal m USING (user_id)",
                [S.MODAL.format(source="s")])
 
 
@@ -264,17 +266,17 @@ def counted(column: str, n: int) -> str:
             f"GROUP BY {column} ORDER BY session_count DESC, {column} LIMIT {n}")
 
 
-sessions_query("top_handsets", ranking.top_handsets, "handset_type session_count:long",
+cleaned_query("top_handsets", ranking.top_handsets, "handset_type session_count:long",
                counted("handset_type", 10))
-sessions_query("top_manufacturers", ranking.top_manufacturers,
+cleaned_query("top_manufacturers", ranking.top_manufacturers,
                "handset_manufacturer session_count:long", counted("handset_manufacturer", 3))
-sessions_query("top_manufacturers_10", partial(ranking.top_manufacturers, n=10),
+cleaned_query("top_manufacturers_10", partial(ranking.top_manufacturers, n=10),
                "handset_manufacturer session_count:long", counted("handset_manufacturer", 10))
-sessions_query("market_share", ranking.market_share,
+cleaned_query("market_share", ranking.market_share,
                "handset_manufacturer session_count:long share_pct:6",
                "SELECT *, 100.0 * session_count / sum(session_count) OVER () AS share_pct FROM ("
                + counted("handset_manufacturer", 3) + ")")
-sessions_query("top_handsets_per_manufacturer", ranking.top_handsets_per_manufacturer,
+cleaned_query("top_handsets_per_manufacturer", ranking.top_handsets_per_manufacturer,
                "handset_manufacturer rank:int handset_type session_count:long",
                "SELECT * FROM (SELECT handset_manufacturer, handset_type, count(*) AS session_count, "
                "row_number() OVER (PARTITION BY handset_manufacturer ORDER BY count(*) DESC, "
@@ -282,26 +284,24 @@ sessions_query("top_handsets_per_manufacturer", ranking.top_handsets_per_manufac
                f"IN (SELECT handset_manufacturer FROM ({counted('handset_manufacturer', 3)})) "
                "GROUP BY handset_manufacturer, handset_type) WHERE rank <= 5")
 
-_ALL = ["l AS (" + S.long_form(["bearer_id", "user_id", *S.MEASURES]) + ")"]
+_ALL = ["l AS (" + S.long_form(["bearer_id", "user_id", *S.MEASURES, "total_data"]) + ")"]
 _DTYPES = [("bearer_id", "bigint"), ("user_id", "bigint"), ("start_ts", "timestamp_ntz"),
            ("handset_manufacturer", "string"), ("handset_type", "string"),
-           *[(c, "double") for c in S.MEASURES]]
-sessions_query("describe_variables", statistics.describe_variables,
+           *[(c, "double") for c in [*S.MEASURES, "total_data"]]]
+cleaned_query("describe_variables", statistics.describe_variables,
                "variable dtype mean:3 std:3 min:3 max:3",
                "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in _DTYPES)
                + ") d(variable, dtype) LEFT JOIN (SELECT variable, avg(value) AS mean, "
                "stddev_samp(value) AS std, min(value) AS min, max(value) AS max FROM l "
                "GROUP BY variable) USING (variable)", _ALL)
-sessions_query("basic_metrics",
-               lambda s: statistics.basic_metrics(s).withColumn(
-                   "variance", F.col("variance") / F.greatest(F.col("std"), F.lit(1.0))),
-               "variable mean:3 median:3 std:3 variance:3 skewness:6 kurtosis:6 missing:long",
-               "SELECT variable, avg(value) AS mean, median(value) AS median, "
-               "stddev_samp(value) AS std, var_samp(value) / greatest(stddev_samp(value), 1) "
-               "AS variance, skewness(value) AS skewness, kurtosis(value) AS kurtosis, "
-               "count(*) - count(value) AS missing FROM l "
-               "WHERE variable NOT IN ('bearer_id', 'user_id') GROUP BY variable", _ALL)
-sessions_query("dispersion", statistics.dispersion,
+cleaned_query("basic_metrics", statistics.basic_metrics,
+              "variable mean:3 median:3 std:3 variance:s8 skewness:6 kurtosis:6 missing:long",
+              "SELECT variable, avg(value) AS mean, median(value) AS median, "
+              "stddev_samp(value) AS std, var_samp(value) AS variance, "
+              "skewness(value) AS skewness, kurtosis(value) AS kurtosis, "
+              "count(*) - count(value) AS missing FROM l "
+              "WHERE variable NOT IN ('bearer_id', 'user_id') GROUP BY variable", _ALL)
+cleaned_query("dispersion", statistics.dispersion,
                "variable q1:5 q3:5 iqr:5 range:5 cv_pct:r2",
                "SELECT variable, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, "
                "quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, "
@@ -311,13 +311,13 @@ sessions_query("dispersion", statistics.dispersion,
 
 _HIST = ["dur_ms", "total_dl", "total_ul", "rtt_dl_ms", "tp_dl_kbps"]
 _HIST_SPEC = "bin:int bin_start:3 bin_end:3 count:long"
-sessions_query("histogram", lambda s: statistics.histogram(s, _HIST, 50),
+cleaned_query("histogram", lambda s: statistics.histogram(s, _HIST, 50),
                f"variable {_HIST_SPEC}", S.histograms(S.long_form(_HIST), 50))
 _METRIC_HIST = ["dur_ms", "rtt_dl_ms", "rtt_ul_ms", "tp_dl_kbps", "tp_ul_kbps"]
-sessions_query("session_metric_histograms",
+cleaned_query("session_metric_histograms",
                lambda s: statistics.histogram(s, _METRIC_HIST, 60),
                f"variable {_HIST_SPEC}", S.histograms(S.long_form(_METRIC_HIST), 60))
-sessions_query("histogram_by_group",
+cleaned_query("histogram_by_group",
                lambda s: statistics.histogram(s, ["tp_dl_kbps", "rtt_dl_ms"], 80,
                                               by="handset_manufacturer"),
                f"variable handset_manufacturer {_HIST_SPEC}",
@@ -326,28 +326,28 @@ sessions_query("histogram_by_group",
                             "handset_manufacturer"))
 
 _APP_VOLUME = {a: f"coalesce({a}_dl, 0) + coalesce({a}_ul, 0)" for a in S.APPS}
-sessions_query("app_total_correlation", statistics.app_total_correlation,
+cleaned_query("app_total_correlation", statistics.app_total_correlation,
                "application correlation:r4",
                " UNION ALL ".join(f"SELECT '{a}' AS application, "
                                   f"corr({v}, total_dl + total_ul) AS correlation FROM s"
                                   for a, v in _APP_VOLUME.items()))
-sessions_query("app_total_grid", statistics.app_total_grid,
+cleaned_query("app_total_grid", statistics.app_total_grid,
                "application x_bin:int y_bin:int count:long",
                "SELECT variable AS application, x_bin, y_bin, count FROM ("
                + S.grids(" UNION ALL ".join(
                    f"SELECT '{a}' AS variable, ({v}) / 1e6 AS x, (total_dl + total_ul) / 1e6 AS y "
                    "FROM s" for a, v in _APP_VOLUME.items()), 20) + ")")
-sessions_query("decile_segmentation",
+cleaned_query("decile_segmentation",
                lambda s: segments.decile_segmentation(features.user_overview(s)),
                "decile decile_num:int total_data_bytes_sum:2",
                "SELECT 'D' || dn AS decile, dn AS decile_num, sum(total_data_bytes) AS "
                "total_data_bytes_sum FROM (SELECT *, greatest(1, ((r - 1) * 10 + n - 2) // (n - 1)) "
                "AS dn FROM (SELECT *, row_number() OVER (ORDER BY total_duration_ms, user_id) AS r, "
                "count(*) OVER () AS n FROM ov)) WHERE dn >= 6 GROUP BY dn", [S.overview()])
-sessions_query("correlation_matrix", statistics.app_correlation_matrix, "col_a col_b r:6",
+cleaned_query("correlation_matrix", statistics.app_correlation_matrix, "col_a col_b r:6",
                " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM s"
                                   for a in S.APP_COLUMNS for b in S.APP_COLUMNS))
-sessions_query("correlation_matrix_users",
+cleaned_query("correlation_matrix_users",
                lambda s: statistics.app_correlation_matrix(
                    s, materialise(features.user_app_traffic(s), "traffic"), level="user"),
                "col_a col_b r:6",
@@ -362,23 +362,23 @@ sessions_query("correlation_with_gaps",
 
 @query("pca_explained")
 def _pca_explained(spark, d):
-    s = session_view(spark, d)
+    s = cleaned_sessions(spark, d)
     return components.fit_components(s, DEFAULT.app_columns(s)).explained(s)
 
 
 @query("pca_loadings")
 def _pca_loadings(spark, d):
-    s = session_view(spark, d)
+    s = cleaned_sessions(spark, d)
     return components.fit_components(s, DEFAULT.app_columns(s)).loadings(s)
 
 
 @query("pca_scores")
 def _pca_scores(spark, d):
-    s = session_view(spark, d)
+    s = cleaned_sessions(spark, d)
     return components.fit_components(s, DEFAULT.app_columns(s)).scores(s, ["bearer_id"])
 
 
-sessions_query("app_boxplot_stats", statistics.app_box_statistics,
+cleaned_query("app_boxplot_stats", statistics.app_box_statistics,
                "application count:long mean:3 min:3 whisker_low:3 q1:3 median:3 q3:3 "
                "whisker_high:3 max:3 outliers:long",
                S.boxes("(" + " UNION ALL ".join(
@@ -386,13 +386,13 @@ sessions_query("app_boxplot_stats", statistics.app_box_statistics,
                    "application"))
 BOX_SPEC = ("count:long mean:4 min:4 whisker_low:4 q1:4 median:4 q3:4 whisker_high:4 max:4 "
             "outliers:long")
-sessions_query("boxplot_stats",
+cleaned_query("boxplot_stats",
                lambda s: statistics.box_statistics(
                    to_long(s, ["tp_dl_kbps"], keep=["handset_manufacturer"]),
                    "handset_manufacturer"),
                f"handset_manufacturer {BOX_SPEC}", S.boxes("s", "handset_manufacturer",
                                                            "tp_dl_kbps"))
-sessions_query("kpi_banner", reports.kpi_banner,
+cleaned_query("kpi_banner", reports.kpi_banner,
                "total_records:long unique_users:long handset_types:long total_dl_tb:6 "
                "total_ul_tb:6",
                "SELECT count(*) AS total_records, count(DISTINCT user_id) AS unique_users, "
@@ -410,13 +410,13 @@ def ranked(metrics: Sequence[str], source: str, n: int, variable: str = "metric"
         f"WHERE rank <= {n}" for m in metrics)
 
 
-sessions_query("top10_per_metric", lambda s: ranking.top_engaged(features.user_engagement(s)),
+cleaned_query("top10_per_metric", lambda s: ranking.top_engaged(features.user_engagement(s)),
                "metric rank:int user_id:long value:2", ranked(S.ENG, "eng", 10), [S.engagement()])
-sessions_query("top10_per_app", lambda s: ranking.top_per_application(features.user_app_traffic(s)),
+cleaned_query("top10_per_app", lambda s: ranking.top_per_application(features.user_app_traffic(s)),
                "application rank:int user_id:long value:2",
                ranked([f"{a}_total_bytes" for a in S.APPS], "app", 10, "application",
                       "_total_bytes"), [S.traffic()])
-sessions_query("top3_apps", lambda s: ranking.top_applications(features.user_app_traffic(s)),
+cleaned_query("top3_apps", lambda s: ranking.top_applications(features.user_app_traffic(s)),
                "application total_bytes:0 total_gb:4",
                "SELECT *, total_bytes / 1e9 AS total_gb FROM ("
                + " UNION ALL ".join(f"SELECT '{a}' AS application, sum({a}_total_bytes) AS "
@@ -468,13 +468,13 @@ query("engagement_cluster_grid", "pair engagement_cluster:int x_bin:int y_bin:in
 
 
 def _elbow_oracle() -> tuple[list[str], str]:
-    ctes = [S.SESSIONS, S.engagement()]
-    for k in (2, 3, 4):
+    ctes, ks = [*S.CLEANED, S.engagement()], range(2, 11)
+    for k in ks:
         ctes += S.lloyd("eng", S.ENG, "minmax", k, f"e{k}")
     ctes.append(S.scaled("eng", S.ENG, "minmax", "ez"))
     ctes.append("curve AS (SELECT 1 AS k, (var_pop(x0) + var_pop(x1) + var_pop(x2)) * count(*) AS "
                 "inertia FROM ez" + "".join(f" UNION ALL SELECT {k}, sum(d) FROM e{k}"
-                                            for k in (2, 3, 4)) + ")")
+                                            for k in ks) + ")")
     ctes.append("bent AS (SELECT *, lead(inertia) OVER (ORDER BY k) - 2 * inertia + lag(inertia) "
                 "OVER (ORDER BY k) AS second_difference FROM curve)")
     return ctes, ("SELECT *, (SELECT k FROM bent WHERE second_difference IS NOT NULL ORDER BY "
@@ -484,7 +484,7 @@ def _elbow_oracle() -> tuple[list[str], str]:
 @query("elbow_curve", "k:int inertia:4 second_difference:4 optimal_k:int", *_elbow_oracle())
 def _elbow_curve(spark, d):
     return clustering.elbow(plan(spark, d, "engagement").engagement, "user_id",
-                            ENGAGEMENT_METRICS, 4, method="lloyd")
+                            ENGAGEMENT_METRICS, 10, method="lloyd")
 
 
 @query("elbow_curve_ml")
@@ -670,6 +670,15 @@ query("experience_profile_long", "cluster label metric mean_value:4", EXPSEG,
     experience_report(lambda users, labels: reports.means_long(
         users, labels, "experience_cluster", EXPERIENCE_METRICS)))
 
+query("experience_cluster_histograms", f"variable experience_cluster:int {_HIST_SPEC}", EXPC,
+      S.histograms(S.long_form(S.EXP, "expc", ["experience_cluster"]), 60, "experience_cluster"))(
+    lambda spark, d: statistics.histogram(plan(spark, d, "experience").experience_clustered,
+                                          EXPERIENCE_METRICS, 60, by="experience_cluster"))
+query("user_metric_histograms", f"variable {_HIST_SPEC}", S.clean_experience(),
+      S.histograms(S.long_form(S.EXP, "exp"), 80))(
+    lambda spark, d: statistics.histogram(plan(spark, d, "experience").experience,
+                                          EXPERIENCE_METRICS, 80))
+
 # -- satisfaction ------------------------------------------------------------
 
 query("engagement_score", "user_id:long engagement_cluster:int engagement_score:6",
@@ -725,9 +734,7 @@ query("satisfaction_cluster_means", f"satisfaction_cluster:int {SCORE_SPEC}", SA
 @query("satisfaction_labels", f"satisfaction_cluster:int {SCORE_SPEC} label insight", SATC,
        "SELECT t.*, insight FROM (SELECT *, CASE row_number() OVER (ORDER BY satisfaction_score) "
        f"WHEN 1 THEN 'Low Satisfaction Users' ELSE 'High Satisfaction Users' END AS label FROM "
-       f"({MEANS})) t JOIN (VALUES " + ", ".join(
-           f"('{a}', '{b}')" for a, b in scoring.SATISFACTION_INSIGHTS)
-       + ") v(label, insight) USING (label)")
+       f"({MEANS})) t JOIN (VALUES {S.INSIGHTS}) v(label, insight) USING (label)")
 def _satisfaction_labels(spark, d):
     p = plan(spark, d)
     return scoring.describe_satisfaction(p.satisfaction_clustered, p.satisfaction_segmentation)
@@ -737,16 +744,17 @@ def _satisfaction_labels(spark, d):
        "SELECT user_id AS customer_id, * FROM sat")
 def _export_scores(spark, d):
     table = scoring.score_export(plan(spark, d).satisfaction)
-    tables.export_table(table, "user_scores", path=scratch_path(spark, "user_scores"))
-    return tables.read_table(spark, "user_scores")
+    name = f"user_scores_{uuid.uuid4().hex}"
+    tables.export_table(table, name, path=scratch_path(spark, "user_scores"))
+    return tables.read_table(spark, name)
 
 
 def report(spark: SparkSession, d: str, text: str) -> DataFrame:
     """Run report SQL over the exported, clustered satisfaction table."""
     clustered = plan(spark, d).satisfaction_clustered
-    tables.export_table(clustered, "user_satisfaction",
-                        path=scratch_path(spark, "user_satisfaction"))
-    return tables.run_query(spark, text)
+    name = f"user_satisfaction_{uuid.uuid4().hex}"
+    tables.export_table(clustered, name, path=scratch_path(spark, "user_satisfaction"))
+    return tables.run_query(spark, text.replace("user_satisfaction", name))
 
 
 PREVIEW = "SELECT * FROM user_satisfaction ORDER BY user_id LIMIT 10"

@@ -22,11 +22,13 @@ _VOLUME = ",\n".join(
     for w, m in (("dl", 97), ("ul", 11)) for i, a in enumerate(APPS, 1))
 
 SESSIONS = f"""s AS MATERIALIZED (
-SELECT l.l_orderkey * 10 + l.l_linenumber AS bearer_id, o.o_custkey AS user_id,
+SELECT l.l_orderkey * 10 + l.l_linenumber AS bearer_id,
+  CASE WHEN l.l_orderkey % 61 = 0 THEN NULL ELSE o.o_custkey END AS user_id,
   l.l_shipdate AS start_ts,
   CASE WHEN l.l_orderkey % 37 = 0 THEN NULL ELSE p.p_brand END AS handset_manufacturer,
   CASE WHEN l.l_orderkey % 41 = 0 THEN NULL ELSE p.p_name END AS handset_type,
-  l.l_quantity * 60000 AS dur_ms,
+  CASE WHEN l.l_orderkey % 53 = 0 THEN NULL WHEN l.l_orderkey % 59 = 0
+       THEN l.l_quantity * 1500000 ELSE l.l_quantity * 60000 END AS dur_ms,
   CASE WHEN l.l_suppkey % 10 = 0 THEN NULL
        ELSE CAST(5 + l.l_partkey % 196 AS DOUBLE) END AS rtt_dl_ms,
   CAST(5 + l.l_suppkey % 97 AS DOUBLE) AS rtt_ul_ms,
@@ -37,26 +39,26 @@ SELECT l.l_orderkey * 10 + l.l_linenumber AS bearer_id, o.o_custkey AS user_id,
        ELSE l.l_extendedprice * l.l_tax END AS tcp_dl_bytes,
   l.l_extendedprice * l.l_tax / 2 AS tcp_ul_bytes,
   {_VOLUME},
-  l.l_extendedprice * 1000 AS total_dl,
+  CASE WHEN l.l_orderkey % 67 = 0 THEN l.l_extendedprice * 30000
+       ELSE l.l_extendedprice * 1000 END AS total_dl,
   l.l_extendedprice * 100 * (1 + l.l_discount) AS total_ul
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN part p ON l.l_partkey = p.p_partkey)"""
 
 
-def chain(ctes: Sequence[str], final: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + final
-
-
 def _join(parts: Sequence[str]) -> str:
     return ", ".join(parts)
 
 
-def imputed(columns: Sequence[str], keep: Sequence[str] = (), texts: Sequence[str] = ()) -> list[str]:
-    modes = [f"(SELECT {t} FROM s WHERE {t} IS NOT NULL GROUP BY {t} "
+def imputed(columns: Sequence[str], keep: Sequence[str] = (), texts: Sequence[str] = (),
+            source: str = "s") -> list[str]:
+    modes = [f"(SELECT {t} FROM {source} WHERE {t} IS NOT NULL GROUP BY {t} "
              f"ORDER BY count(*) DESC, {t} LIMIT 1) AS {t}" for t in texts]
-    means = f"m AS MATERIALIZED (SELECT {_join([f'avg({c}) AS {c}' for c in columns] + modes)} FROM s)"
-    filled = [f"coalesce(s.{c}, m.{c}) AS {c}" for c in [*texts, *columns]]
-    return [means, f"i AS MATERIALIZED (SELECT {_join([f's.{k}' for k in keep] + filled)} FROM s, m)"]
+    means = (f"m AS MATERIALIZED (SELECT {_join([f'avg({c}) AS {c}' for c in columns] + modes)} "
+             f"FROM {source})")
+    filled = [f"coalesce(t.{c}, m.{c}) AS {c}" for c in [*texts, *columns]]
+    return [means, f"i AS MATERIALIZED (SELECT {_join([f't.{k}' for k in keep] + filled)} "
+                   f"FROM {source} t, m)"]
 
 
 def fenced(columns: Sequence[str], keep: Sequence[str], source: str = "i") -> list[str]:
@@ -74,28 +76,42 @@ def fenced(columns: Sequence[str], keep: Sequence[str], source: str = "i") -> li
             f"c AS MATERIALIZED (SELECT {_join([*keep, *fixed])} FROM {source}, f, b)"]
 
 
-def cleaned(columns: Sequence[str], keep: Sequence[str] = ("user_id",),
-            texts: Sequence[str] = ()) -> list[str]:
-    return [SESSIONS, *imputed(columns, keep, texts), *fenced(columns, [*keep, *texts])]
+#: The session view cleaned, under the name ``s``.
+CLEANED = [SESSIONS.replace("s AS MATERIALIZED", "raw AS MATERIALIZED", 1),
+           *imputed(MEASURES, ["bearer_id", "user_id", "start_ts"],
+                    ["handset_manufacturer", "handset_type"], "raw"),
+           *fenced(MEASURES, ["bearer_id", "user_id", "start_ts", "handset_manufacturer",
+                              "handset_type"]),
+           "s AS MATERIALIZED (SELECT *, total_dl + total_ul AS total_data FROM c)"]
+
+
+def unique(ctes: Sequence[str]) -> list[str]:
+    """Each CTE once, at its first place."""
+    found: dict[str, str] = {}
+    for c in ctes:
+        found.setdefault(c.split(" AS ", 1)[0], c)
+    return list(found.values())
 
 
 def engagement(source: str = "s") -> str:
     return f"""eng AS MATERIALIZED (SELECT user_id, count(dur_ms) AS sessions_frequency,
  sum(dur_ms) AS total_duration_ms, sum(total_dl) AS total_dl_bytes, sum(total_ul) AS total_ul_bytes,
- sum(total_dl) + sum(total_ul) AS total_traffic_bytes FROM {source} GROUP BY user_id)"""
+ sum(total_dl) + sum(total_ul) AS total_traffic_bytes FROM {source} WHERE user_id IS NOT NULL
+ GROUP BY user_id)"""
 
 
 def traffic(source: str = "s") -> str:
     sums = _join([f"sum(coalesce({a}_dl, 0) + coalesce({a}_ul, 0)) AS {a}_total_bytes" for a in APPS])
-    return f"app AS MATERIALIZED (SELECT user_id, {sums} FROM {source} GROUP BY user_id)"
+    return f"app AS MATERIALIZED (SELECT user_id, {sums} FROM {source} WHERE user_id IS NOT NULL GROUP BY user_id)"
 
 
 MODAL = """modal AS (SELECT user_id, handset_type FROM (SELECT user_id, handset_type,
  row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, handset_type) AS rn
- FROM {source} WHERE handset_type IS NOT NULL GROUP BY user_id, handset_type) WHERE rn = 1)"""
+ FROM {source} WHERE handset_type IS NOT NULL AND user_id IS NOT NULL
+ GROUP BY user_id, handset_type) WHERE rn = 1)"""
 
 
-def experience(source: str = "c", name: str = "exp", digits: int | None = None) -> list[str]:
+def experience(source: str = "s", name: str = "exp", digits: int | None = None) -> list[str]:
     """Per-user quality; ``digits`` rounds the combined metrics."""
     def r(e: str) -> str:
         return f"round({e}, {digits})" if digits is not None else e
@@ -107,26 +123,27 @@ def experience(source: str = "c", name: str = "exp", digits: int | None = None)
  coalesce(modal.handset_type, 'Unknown') AS handset_type
  FROM (SELECT user_id, avg(tcp_dl_bytes) AS tcp_dl, avg(tcp_ul_bytes) AS tcp_ul,
   avg(rtt_dl_ms) AS rtt_dl, avg(rtt_ul_ms) AS rtt_ul, avg(tp_dl_kbps) AS tp_dl,
-  avg(tp_ul_kbps) AS tp_ul FROM {source} GROUP BY user_id) a
+  avg(tp_ul_kbps) AS tp_ul FROM {source} WHERE user_id IS NOT NULL GROUP BY user_id) a
  LEFT JOIN modal ON a.user_id = modal.user_id)"""]
 
 
 def clean_experience(digits: int | None = None) -> list[str]:
-    return [*cleaned(QUALITY, texts=["handset_type"]), *experience("c", digits=digits)]
+    return [*CLEANED, *experience("s", digits=digits)]
 
 
 def overview() -> str:
     sums = _join([f"sum({c}) AS {c}_sum" for c in APP_COLUMNS])
     return f"""ov AS MATERIALIZED (SELECT user_id, count(dur_ms) AS sessions_count,
  sum(dur_ms) AS total_duration_ms, sum(total_dl) AS total_dl_bytes, sum(total_ul) AS total_ul_bytes,
- sum(total_dl + total_ul) AS total_data_bytes, {sums} FROM s GROUP BY user_id)"""
+ sum(total_dl + total_ul) AS total_data_bytes, {sums} FROM s WHERE user_id IS NOT NULL
+ GROUP BY user_id)"""
 
 
 def last_handset() -> list[str]:
     order = ("start_ts DESC NULLS LAST, bearer_id DESC NULLS LAST, handset_type DESC NULLS LAST, "
              "handset_manufacturer DESC NULLS LAST, total_dl DESC NULLS LAST")
     return [f"last_{c} AS (SELECT user_id, {c} FROM (SELECT user_id, {c}, row_number() OVER "
-            f"(PARTITION BY user_id ORDER BY {order}) AS rn FROM s WHERE {c} IS NOT NULL) WHERE rn = 1)"
+            f"(PARTITION BY user_id ORDER BY {order}) AS rn FROM s WHERE {c} IS NOT NULL AND user_id IS NOT NULL) WHERE rn = 1)"
             for c in ("handset_manufacturer", "handset_type")]
 
 
@@ -144,9 +161,17 @@ def scaled(source: str, features: Sequence[str], kind: str, name: str) -> str:
             f"(SELECT {numbers} FROM {source}))")
 
 
+#: Lloyd iterations of the twin: far more than a fit on the check data needs to stand still.
+STEPS = 250
+
+
 def lloyd(source: str, features: Sequence[str], kind: str, k: int, out: str,
-          cluster: str | None = None, iterations: int = 5) -> list[str]:
-    """Unrolled Lloyd iterations; ``out`` = source columns + scaled features + cluster."""
+          cluster: str | None = None) -> list[str]:
+    """Recursive Lloyd iterations; ``out`` = source columns + scaled features + cluster.
+
+    A step keeps the centroids as one row of lists; once they move by less than rounding the
+    recursion ends.
+    """
     xs = [f"x{i}" for i in range(len(features))]
     z, p = f"{out}_z", out
     ctes = [scaled(source, features, kind, z)]
@@ -159,23 +184,27 @@ def lloyd(source: str, features: Sequence[str], kind: str, k: int, out: str,
     def distance(c: str) -> str:
         return " + ".join(f"({z}.{x} - {c}.{x}) * ({z}.{x} - {c}.{x})" for x in xs)
 
-    for step in range(iterations + 1):
-        c = f"{p}_c{step}"
-        ctes.append(f"{p}_a{step} AS MATERIALIZED (SELECT * FROM (SELECT {z}.*, {c}.cl, "
-                    f"{distance(c)} AS d, row_number() OVER (PARTITION BY {z}.user_id ORDER BY "
-                    f"{distance(c)}, {c}.cl) AS pick FROM {z}, {c}) WHERE pick = 1)")
-        if step < iterations:
-            means = _join([f"avg({x}) AS {x}" for x in xs])
-            kept = _join([f"coalesce(u.{x}, o.{x}) AS {x}" for x in xs])
-            ctes.append(f"{p}_c{step + 1} AS MATERIALIZED (SELECT o.cl, {kept} FROM {c} o LEFT JOIN "
-                        f"(SELECT cl, {means} FROM {p}_a{step} GROUP BY cl) u ON o.cl = u.cl)")
-    ctes.append(f"{out} AS MATERIALIZED (SELECT *, cl AS {cluster or 'cluster'} "
-                f"FROM {p}_a{iterations})")
+    own = _join([f"c.{x} AS c_{x}" for x in xs])
+    means = _join([f"coalesce(avg({x}) FILTER (WHERE pick = 1), any_value(c_{x})) AS {x}"
+                   for x in xs])
+    moved = " + ".join(f"abs(avg({x}) FILTER (WHERE pick = 1) - any_value(c_{x}))" for x in xs)
+    ctes.append(
+        f"{p}_it AS (SELECT 0 AS step, cl, {_join(xs)}, CAST(1 AS DOUBLE) AS moved FROM {p}_c0 "
+        f"UNION ALL SELECT step, cl, {_join(xs)}, sum(coalesce(moved, 0)) OVER () AS moved FROM ("
+        f"SELECT step + 1 AS step, cl, {means}, {moved} AS moved FROM (SELECT c.step, c.cl, {own}, "
+        f"{_join([f'{z}.{x}' for x in xs])}, row_number() OVER (PARTITION BY {z}.user_id ORDER BY "
+        f"{distance('c')}, c.cl) AS pick FROM {p}_it c, {z} WHERE c.moved > 1e-11 "
+        f"AND c.step < {STEPS}) GROUP BY step, cl))")
+    ctes.append(f"{p}_end AS MATERIALIZED (SELECT * FROM {p}_it "
+                f"WHERE step = (SELECT max(step) FROM {p}_it))")
+    ctes.append(f"{out} AS MATERIALIZED (SELECT *, cl AS {cluster or 'cluster'} FROM (SELECT {z}.*, "
+                f"c.cl, {distance('c')} AS d, row_number() OVER (PARTITION BY {z}.user_id ORDER BY "
+                f"{distance('c')}, c.cl) AS pick FROM {z}, {p}_end c) WHERE pick = 1)")
     return ctes
 
 
-def engagement_clusters(include_sessions: bool = True) -> list[str]:
-    return [*([SESSIONS] if include_sessions else []), engagement("s"),
+def engagement_clusters() -> list[str]:
+    return [*CLEANED, engagement("s"),
             *lloyd("eng", ENG, "minmax", 3, "engc", "engagement_cluster")]
 
 
@@ -236,8 +265,7 @@ def experience_scores() -> list[str]:
 
 
 def satisfaction() -> list[str]:
-    e = [c for c in engagement_scores() if not c.startswith("s AS")]
-    return [*experience_scores(), *e,
+    return [*unique([*experience_scores(), *engagement_scores()]),
             "sat AS MATERIALIZED (SELECT engs.user_id, engagement_score, experience_score, "
             "(engagement_score + experience_score) / 2 AS satisfaction_score "
             "FROM engs JOIN exps ON engs.user_id = exps.user_id)"]
@@ -315,3 +343,40 @@ def grids(points: str, n: int, keep: str = "") -> str:
   max(y) AS y1 FROM l GROUP BY variable)
  SELECT l.variable, {k}{bins('x', 'x0', 'x1', n)} AS x_bin, {bins('y', 'y0', 'y1', n)} AS y_bin,
   count(*) AS count FROM l JOIN r ON l.variable = r.variable GROUP BY ALL"""
+
+
+_MEANT = [("bearer_id", "identifier", "identifier of the session"),
+          ("user_id", "identifier", "identifier of the user"),
+          ("imsi", "identifier", "identifier of the subscriber card"),
+          ("imei", "identifier", "identifier of the device"),
+          ("start_ts", "time", "start of the session"), ("end_ts", "time", "end of the session"),
+          ("start_ms", "time", "start of the session, millisecond part"),
+          ("end_ms", "time", "end of the session, millisecond part"),
+          ("dur_ms", "measure", "duration of the session in milliseconds"),
+          ("handset_manufacturer", "category", "maker of the handset"),
+          ("handset_type", "category", "model of the handset"),
+          ("rtt_dl_ms", "measure", "downlink round-trip time in milliseconds"),
+          ("rtt_ul_ms", "measure", "uplink round-trip time in milliseconds"),
+          ("tp_dl_kbps", "measure", "downlink throughput in kbit/s"),
+          ("tp_ul_kbps", "measure", "uplink throughput in kbit/s"),
+          ("tcp_dl_bytes", "measure", "downlink TCP retransmissions in bytes"),
+          ("tcp_ul_bytes", "measure", "uplink TCP retransmissions in bytes"),
+          *[(f"{a}_{w}", "measure", f"{t} {d} volume in bytes") for a, t in (
+              ("social_media", "Social Media"), ("google", "Google"), ("email", "Email"),
+              ("youtube", "YouTube"), ("netflix", "Netflix"), ("gaming", "Gaming"),
+              ("other", "Other")) for w, d in (("dl", "downlink"), ("ul", "uplink"))],
+          ("total_dl", "measure", "total downlink volume in bytes"),
+          ("total_ul", "measure", "total uplink volume in bytes"),
+          ("total_data", "measure", "total volume of both directions in bytes")]
+_HELD = [("bearer_id", "bigint"), ("user_id", "bigint"), ("start_ts", "timestamp_ntz"),
+         ("handset_manufacturer", "string"), ("handset_type", "string"),
+         *[(c, "double") for c in MEASURES]]
+FIELD_DICTIONARY = (
+    "SELECT * FROM (VALUES " + _join([f"('{v}', '{k}', '{d}')" for v, k, d in _MEANT])
+    + ") m(variable, kind, description) FULL JOIN (SELECT * FROM (VALUES "
+    + _join([f"('{c}', '{t}')" for c, t in _HELD]) + ") t(variable, dtype) JOIN ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS filled FROM s" for c, _ in _HELD)
+    + ") n USING (variable)) h USING (variable)")
+
+INSIGHTS = """('Low Satisfaction Users', 'Low engagement AND poor network experience. Immediate intervention required: investigate coverage gaps, reduce TCP retransmission rates, and proactively reach out with service-improvement offers to prevent churn.'),
+ ('High Satisfaction Users', 'High engagement AND superior network experience. These are VIP customers: high data consumers with low latency and minimal packet loss. Protect with loyalty programmes, early access to new services, and dedicated support channels.')"""

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from usagelens.functions.orderstats import RankPolicy, exact_quantiles, order_statistics
 from usagelens.operators.models import with_fold
@@ -72,13 +73,31 @@ def test_deciles_equal_pandas_qcut(spark, n, distinct):
     assert got == dict(enumerate(want))
 
 
-def test_many_ties_take_the_distributed_way(spark, monkeypatch):
-    from usagelens.functions import cuts
-    durations = np.random.default_rng(3).integers(0, 3, 500)
-    few = with_decile(duration_frame(spark, durations)).collect()
-    monkeypatch.setattr(cuts, "FEW_TIES", 0)
-    many = with_decile(duration_frame(spark, durations)).collect()
-    assert {r.user_id: r.decile_num for r in few} == {r.user_id: r.decile_num for r in many}
+@pytest.mark.parametrize("kind", ["string", "double", "decimal(20,2)"])
+def test_ties_follow_the_key_itself(spark, kind):
+    durations = np.random.default_rng(3).integers(0, 3, 211)
+    keyed = duration_frame(spark, durations).withColumn("user_id", F.col("user_id").cast(kind))
+    rows = with_decile(keyed).collect()
+    table = pd.DataFrame([(r.user_id, r.total_duration_ms, r.decile_num) for r in rows],
+                         columns=["user", "duration", "decile"]).sort_values(["duration", "user"])
+    want = pd.qcut(np.arange(1, len(table) + 1), 10, labels=False) + 1
+    assert (table.decile.to_numpy() == want).all()
+    folds = sorted((r.user_id, r.fold) for r in with_fold(keyed, "user_id").collect())
+    assert [f for _, f in folds] == sorted(f for _, f in folds)
+
+
+def test_rows_without_a_key_are_left_out(spark):
+    rows = [("a", 1.0), (None, 5.0), ("a", 3.0), (None, 7.0)]
+    df = spark.createDataFrame(rows, "variable string, value double")
+    assert exact_quantiles(df, [0.5]) == {"a": [2.0]}
+
+
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_many_keys(spark, accuracy):
+    df = spark.range(30_000).select((F.col("id") % 3000).cast("string").alias("variable"),
+                                    F.col("id").cast("double").alias("value"))
+    got = exact_quantiles(df, [0.5], policy=RankPolicy(accuracy=accuracy))
+    assert len(got) == 3000 and got["7"] == [7 + 3000 * 4.5]
 
 
 def test_segmentation_keeps_the_upper_deciles_in_text_order(spark):

@@ -30,11 +30,15 @@ def test_scan_reads_only_needed_columns(view):
     assert "l_tax" not in schemas and "p_name" not in schemas and "o_totalprice" not in schemas
 
 
-def test_partial_aggregation_precedes_the_user_shuffle(view):
-    text = plan_text(features.user_features(view))
-    assert "partial_sum" in text and "partial_mode" in text
-    by_user = [line for line in text.splitlines() if "hashpartitioning(user_id" in line]
-    assert len(by_user) == 1  # one shuffle for all feature tables
+def test_sessions_meet_only_hash_aggregates(view):
+    for df in (features.user_features(view), features.user_overview(view),
+               features.user_last_handset(view), features.user_experience(view)):
+        text = plan_text(df)
+        over_sessions = text[text.index("hashpartitioning(user_id"):]  # the lowest exchange by user
+        below = text[text.rindex("hashpartitioning(user_id"):]
+        assert "HashAggregate" in below
+        assert "SortAggregate" not in below and "ObjectHashAggregate" not in below
+        assert over_sessions.count("hashpartitioning(user_id") == 2
 
 
 def test_top_n_limits_before_shuffling(view):

@@ -17,7 +17,7 @@ def scores(analysis):
     return analysis.satisfaction.persist()
 
 
-def numpy_lloyd(x, ids, k, rounds):
+def numpy_lloyd(x, ids, k, rounds=300):
     order = np.lexsort((ids, x[:, 0]))
     n = len(x)
     c = x[order[[-(-n * (2 * i + 1) // (2 * k)) - 1 for i in range(k)]]]
@@ -32,12 +32,29 @@ def test_lloyd_matches_numpy(users, k):
     pdf = users.select("user_id", *ENGAGEMENT_METRICS).toPandas()
     x = pdf[list(ENGAGEMENT_METRICS)].to_numpy(float)
     x = (x - x.min(0)) / (x.max(0) - x.min(0))
-    want, _ = numpy_lloyd(x, pdf.user_id.to_numpy(), k, 5)
+    want, _ = numpy_lloyd(x, pdf.user_id.to_numpy(), k)
     fit = clustering.lloyd(users, "user_id", ENGAGEMENT_METRICS, k)
     got = fit.assign(users, "c").select("user_id", "c").toPandas().set_index("user_id").c
     assert (got.loc[pdf.user_id].to_numpy() == want).all()
 
 
+def test_one_more_step_changes_nothing(users):
+    fit = clustering.lloyd(users, "user_id", ENGAGEMENT_METRICS, 3)
+    pdf = fit.assign(users, "c").select("c", *ENGAGEMENT_METRICS).toPandas()
+    x = pdf[list(ENGAGEMENT_METRICS)].to_numpy(float)
+    x = (x - x.min(0)) / (x.max(0) - x.min(0))
+    means = np.array([x[pdf.c == i].mean(0) for i in range(3)])
+    assert np.allclose(means, fit.centroids, atol=1e-10)
+    assert (((x[:, None] - means[None]) ** 2).sum(2).argmin(1) == pdf.c).all()
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(12,0)", "string"])
+def test_lloyd_takes_any_key_type(users, kind):
+    fit = clustering.lloyd(users.withColumn("user_id", F.col("user_id").cast(kind)), "user_id",
+                           ENGAGEMENT_METRICS, 2)
+    assert len(fit.centroids) == 2
+
+
 def test_duplicate_points_leave_clusters_empty_without_failing(spark):
     df = spark.createDataFrame([(i, 1.0) for i in range(9)], "user_id long, m double")
     fit = clustering.lloyd(df, "user_id", ["m"], 3)

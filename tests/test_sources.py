@@ -1,10 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from usagelens.operators import features
 from usagelens.schema import TELECOM, normalise_names, snake_case
 from usagelens.sources import files, tables
-from usagelens.workspace import materialise, shared_root, spread
+from usagelens.workspace import drop_scratch, materialise, shared_root
 
 
 def test_raw_header_is_normalised(spark):
@@ -74,14 +76,22 @@ def test_table_sink_modes(spark, tmp_path):
 def test_scratch_tables(spark, tmp_path):
     kept = materialise(spark.range(5).withColumn("x", F.col("id") * 2))
     assert kept.count() == 5 and kept.columns == ["id", "x"]
-    assert shared_root(spark)
+    assert spark.sparkContext.applicationId in shared_root(spark)
+
+
+def test_scratch_is_dropped_as_a_whole(spark):
+    materialise(spark.range(3))
+    root = Path(shared_root(spark).removeprefix("file:"))
+    assert list(root.iterdir())
+    drop_scratch(spark)
+    assert not root.exists()
 
 
-def test_small_inputs_are_spread_and_large_ones_left_alone(spark):
-    narrow = spark.range(0, 100, 1, 1)
-    assert spread(narrow, "id").rdd.getNumPartitions() == 4
-    wide = spark.range(0, 100, 1, 9)
-    assert "Exchange" not in spread(wide, "id")._jdf.queryExecution().executedPlan().toString()
+def test_scratch_needs_a_named_folder(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    with pytest.raises(RuntimeError):
+        shared_root(spark)
 
 
 def test_absent_user_column_fails_early(spark):

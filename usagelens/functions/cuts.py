@@ -1,82 +1,63 @@
 """Splitting a table by global rank without ranking it.
 
-To put rows into deciles or contiguous folds only the few rows at the borders
-matter.  Their exact (value, tie key) pairs come from order statistics;
-membership is then a comparison with literals, a projection without any shuffle.
+To put rows into deciles or contiguous folds only the few rows at the borders matter.  The
+(value, tie key) pairs are dealt over range partitions, the partitions are counted, and the
+border rows are read off by their place within one partition.  Membership is then a
+comparison with literals, a projection without any shuffle.  Both columns may have any
+orderable type, and the way is the same at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from usagelens.functions.orderstats import RankPolicy, order_statistics
-
-FEW_TIES = 10_000
+from usagelens.workspace import materialise
 
 
 @dataclass(frozen=True)
 class Border:
-    """Last row of a segment.  ``tie`` is None if no equal value lies behind it."""
+    """Last row of a segment."""
 
     value: Any
-    tie: Any = None
-
-
-def tie_key(df: DataFrame, key: str) -> Column:
-    """A numeric form of the key, to order rows with equal values."""
-    return F.xxhash64(key) if isinstance(df.schema[key].dataType, T.StringType) else F.col(key)
+    tie: Any
 
 
-def border_rows(df: DataFrame, value: Column, tie: Column, hints: Sequence[float],
-                ranks: Callable[[int], Sequence[int]],
-                policy: RankPolicy = RankPolicy(), name_tie: bool = False) -> list[Border]:
-    """Borders at the 1-based ranks ``ranks(n)`` in (value, tie) order.
-
-    The tie key is looked up where a border splits equal values, or always with
-    ``name_tie``.
-    """
+def border_rows(df: DataFrame, value: Column, tie: Column,
+                ranks: Callable[[int], Sequence[int]]) -> list[Border]:
+    """Borders at the 1-based ranks ``ranks(n)`` in (value, tie) order; null values have none."""
+    order = ["value", "tie"]
     rows = df.select(value.alias("value"), tie.alias("tie")).where(F.col("value").isNotNull())
-    whole = rows.select(F.lit(0).alias("variable"), "value")
-    found = order_statistics(
-        whole, hints, lambda _, n: [(i, r, r) for i, r in enumerate(ranks(n))], policy=policy)
-    if not found:
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()),
+                        "ranked")
+    sizes = dealt.groupBy("part").count().orderBy("part").collect()  # one row per partition
+    if not sizes:
         return []
-    cuts = [first for first, _ in found[0].cuts]
-
-    # a border in the middle of equal values: the tie key decides among those
-    split = {i: c for i, c in enumerate(cuts) if name_tie or c.rank < c.below + c.ties}
-    if not split:
-        return [Border(c.value) for c in cuts]
-    schema = T.StructType([T.StructField("value", rows.schema["value"].dataType),
-                           T.StructField("variable", T.IntegerType())])
-    wanted = F.broadcast(rows.sparkSession.createDataFrame(  # one row per border
-        [(c.value, i) for i, c in split.items()], schema))
-    tied = rows.join(wanted, "value").select("variable", F.col("tie").alias("value"))
-    order = list(split)
-    if sum(c.ties for c in split.values()) <= FEW_TIES:  # counted above, so known to be few
-        keys: dict[int, list] = {}
-        for r in tied.collect():
-            keys.setdefault(r.variable, []).append(r.value)
-        return [Border(c.value, sorted(keys[i])[c.rank - c.below - 1] if i in split else None)
-                for i, c in enumerate(cuts)]
-    among = order_statistics(
-        tied, [(split[i].rank - split[i].below) / split[i].ties for i in order],
-        lambda i, _: [(order.index(i), split[i].rank - split[i].below,
-                       split[i].rank - split[i].below)], policy=policy)
-    return [Border(c.value, among[i].cuts[0][0].value if i in split else None)
-            for i, c in enumerate(cuts)]
+    spots = []
+    for rank in ranks(sum(s["count"] for s in sizes)):
+        before = 0
+        for s in sizes:
+            if rank <= before + s["count"]:
+                break
+            before += s["count"]
+        spots.append((s.part, rank - before))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    wanted = reduce(Column.__or__, [(F.col("part") == p) & (F.col("place") == i)
+                                    for p, i in set(spots)])
+    found = {(r.part, r.place): Border(r.value, r.tie) for r in
+             dealt.where(F.col("part").isin(*{p for p, _ in spots}))
+             .withColumn("place", place).where(wanted).collect()}
+    return [found[s] for s in spots]
 
 
 def bucket(value: Column, tie: Column, borders: Sequence[Border], first: int = 1) -> Column:
     """``first`` plus the number of borders a row lies strictly behind."""
     number = F.lit(first)
     for b in borders:
-        behind = value > F.lit(b.value)
-        if b.tie is not None:
-            behind = behind | ((value == F.lit(b.value)) & (tie > F.lit(b.tie)))
+        behind = (value > F.lit(b.value)) | ((value == F.lit(b.value)) & (tie > F.lit(b.tie)))
         number = number + behind.cast("int")
     return number

@@ -70,11 +70,11 @@ def order_statistics(long: DataFrame, hints: Sequence[float], ranks: Ranks,
 
     ``ranks(key, n)`` lists what is wanted of a key with ``n`` rows: intervals of
     one or two adjacent 1-based ranks, each with the index of the hint (an
-    approximate relative rank) that steers its first bracket.  Keys must be few
-    (columns, clusters, categories).
+    approximate relative rank) that steers its first bracket.  Rows without a key or a
+    value are left out.  Keys must be few (columns, clusters, categories).
     """
     known = long.select(F.col(key).alias("key"), F.col(value).alias("value")) \
-                .where(F.col("value").isNotNull())
+                .where(F.col("key").isNotNull() & F.col("value").isNotNull())
     margin = 2.0 / policy.accuracy
     probes = [min(1.0, max(0.0, p + d)) for p in hints for d in (-margin, margin)]
     profiles = known.groupBy("key").agg(
@@ -98,6 +98,8 @@ def order_statistics(long: DataFrame, hints: Sequence[float], ranks: Ranks,
         found |= _select(known, requests, open_ids)
         open_ids = [i for i in open_ids if i not in found]
         for i in open_ids:  # a sketch missed: start over from the certain range
+            if (requests[i].lo, requests[i].hi) == (requests[i].floor, requests[i].ceiling):
+                raise RuntimeError(f"no value at rank {requests[i].first} of {requests[i].key!r}")
             requests[i] = replace(requests[i], lo=requests[i].floor, hi=requests[i].ceiling)
         crowded = True
 

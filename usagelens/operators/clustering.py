@@ -2,8 +2,8 @@
 
 Two ways to fit.  ``kmeans`` uses ``pyspark.ml``: several restarts over one
 cached vector column, the cheapest kept, cluster ids made stable by ordering
-them on a named metric.  ``lloyd`` runs a fixed number of plain Lloyd iterations
-from rank-chosen rows: fully reproducible, so it can be checked against SQL.
+them on a named metric.  ``lloyd`` runs plain Lloyd iterations from rank-chosen
+rows until no centroid moves: fully reproducible, so it can be checked against SQL.
 Each Lloyd iteration is one partial-aggregated pass whose k x d result becomes
 literals of the next, so plans never grow, and several k share the same passes.
 """
@@ -11,6 +11,7 @@ literals of the next, so plans never grow, and several k share the same passes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -18,12 +19,17 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from usagelens.functions.cuts import border_rows, tie_key
+from usagelens.functions.cuts import border_rows
 from usagelens.functions.long import to_long
 from usagelens.functions.orderstats import RankPolicy
 from usagelens.operators.statistics import box_statistics, grid_counts
 from usagelens.schema import require
 
+#: Iterations after which a fit gives up; restarts of a seeded fit.
+MAX_ITERATIONS, RESTARTS = 300, 10
+#: A centroid that moves by less (in scaled units) stands still: rounding of sums.
+STILL = 1e-12
+
 ENGAGEMENT_LABELS = ("Low", "Medium", "High")
 EXPERIENCE_LABELS = ("Good", "Average", "Poor")
 
@@ -85,17 +91,17 @@ def _nearest(point: Sequence[Column], centroids: Centroids) -> Column:
         for i, c in enumerate(centroids)]))
 
 
-def seed_rows(df: DataFrame, key: str, scaling: Scaling, ks: Sequence[int],
-              policy: RankPolicy = RankPolicy()) -> dict[int, Centroids]:
+def seed_rows(df: DataFrame, key: str, scaling: Scaling,
+              ks: Sequence[int]) -> dict[int, Centroids]:
     """Start centroids: for each k the rows at ranks ``ceil(n (2i+1) / 2k)``
     when ordered by the first feature, then key."""
-    first, tie = _filled(scaling.features[0]), tie_key(df, key)
+    first, tie = _filled(scaling.features[0]), F.col(key)
     spots = [(k, i) for k in ks for i in range(k)]
-    borders = border_rows(df, first, tie, [(2 * i + 1) / (2 * k) for k, i in spots],
-                          lambda n: [-(-n * (2 * i + 1) // (2 * k)) for k, i in spots],
-                          policy, name_tie=True)
+    borders = border_rows(df, first, tie,
+                          lambda n: [-(-n * (2 * i + 1) // (2 * k)) for k, i in spots])
+    kind = df.schema[key].dataType.simpleString()
     chosen = F.broadcast(df.sparkSession.createDataFrame(  # sum of ks rows
-        sorted({(b.value, b.tie) for b in borders}), "first double, tie long"))
+        sorted({(b.value, b.tie) for b in borders}), f"first double, tie {kind}"))
     points = df.select(first.alias("first"), tie.alias("tie"),
                        F.array(*scaling.columns()).alias("point"))
     at = {(r["first"], r.tie): tuple(r.point)
@@ -117,30 +123,45 @@ class Segmentation:
 
 
 def lloyd_many(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int],
-               scaling: str = "minmax", iterations: int = 5,
-               policy: RankPolicy = RankPolicy()) -> dict[int, Segmentation]:
-    """Fit several k side by side: every iteration reads ``df`` once for all of them."""
+               scaling: str = "minmax",
+               max_iterations: int = MAX_ITERATIONS) -> dict[int, Segmentation]:
+    """Fit several k side by side: every iteration reads ``df`` once for all that still move."""
     require(df, [key, *features], "k-means")
     scale = fit_scaling(df, features, scaling)
-    seeds = seed_rows(df, key, scale, ks, policy)
+    seeds = seed_rows(df, key, scale, ks)
     names = [f"x{i}" for i in range(len(features))]
-    points = df.select(*[c.alias(n) for n, c in zip(names, scale.columns())])
-    columns = [F.col(n) for n in names]
-    for _ in range(iterations):
-        chosen = F.array(*[F.struct(F.lit(k).alias("k"),
-                                    _nearest(columns, seeds[k])["cluster"].alias("cluster"))
-                           for k in ks])
-        means = (points.select(*names, F.explode(chosen).alias("m"))
-                 .groupBy("m.k", "m.cluster").agg(*[F.avg(n).alias(n) for n in names]).collect())
-        moved = {(r.k, r.cluster): tuple(r[n] for n in names) for r in means}
-        # a cluster nobody chose keeps its centroid
-        seeds = {k: tuple(moved.get((k, i), c) for i, c in enumerate(seeds[k])) for k in ks}
+    points = df.select(*[c.alias(n) for n, c in zip(names, scale.columns())]) \
+               .persist(StorageLevel.MEMORY_AND_DISK)
+    columns, moving = [F.col(n) for n in names], list(ks)
+    try:
+        for _ in range(max_iterations):
+            if not moving:
+                break
+            chosen = F.array(*[F.struct(F.lit(k).alias("k"),
+                                        _nearest(columns, seeds[k])["cluster"].alias("cluster"))
+                               for k in moving])
+            means = (points.select(*names, F.explode(chosen).alias("m"))
+                     .groupBy("m.k", "m.cluster").agg(*[F.avg(n).alias(n) for n in names])
+                     .collect())
+            moved = {(r.k, r.cluster): tuple(r[n] for n in names) for r in means}
+            # a cluster nobody chose keeps its centroid
+            after = {k: tuple(moved.get((k, i), c) for i, c in enumerate(seeds[k]))
+                     for k in moving}
+            moving = [k for k in moving if any(
+                abs(a - b) > STILL for old, new in zip(seeds[k], after[k])
+                for a, b in zip(old, new))]
+            seeds |= after
+        else:
+            if moving:
+                raise RuntimeError(f"k = {moving} still moves after {max_iterations} iterations")
+    finally:
+        points.unpersist()
     return {k: Segmentation(scale, seeds[k]) for k in ks}
 
 
-def lloyd(df: DataFrame, key: str, features: Sequence[str], k: int, scaling: str = "minmax",
-          iterations: int = 5, policy: RankPolicy = RankPolicy()) -> Segmentation:
-    return lloyd_many(df, key, features, [k], scaling, iterations, policy)[k]
+def lloyd(df: DataFrame, key: str, features: Sequence[str], k: int,
+          scaling: str = "minmax") -> Segmentation:
+    return lloyd_many(df, key, features, [k], scaling)[k]
 
 
 def inertia(df: DataFrame, fits: dict[int, Segmentation]) -> dict[int, float]:
@@ -160,16 +181,17 @@ def _vectors(df: DataFrame, scale: Scaling, keep: Sequence[str]) -> DataFrame:
 
 
 def _cheapest(vectors: DataFrame, k: int, restarts: int, seed: int):
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, featuresCol="features").fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    """The cheapest of several seeded fits, which run side by side."""
+    def one(i: int):
+        return KMeans(k=k, seed=seed + i, featuresCol="features", maxIter=MAX_ITERATIONS,
+                      tol=1e-6).fit(vectors)
+
+    with ThreadPoolExecutor(4) as pool:
+        return min(pool.map(one, range(restarts)), key=lambda m: m.summary.trainingCost)
 
 
 def kmeans(df: DataFrame, features: Sequence[str], k: int, scaling: str = "minmax",
-           restarts: int = 3, seed: int = 42, order_by: str | None = None) -> Segmentation:
+           restarts: int = RESTARTS, seed: int = 42, order_by: str | None = None) -> Segmentation:
     """Best of several k-means|| runs; ids ascend with the centroid's ``order_by``."""
     require(df, features, "k-means")
     scale = fit_scaling(df, features, scaling)
@@ -184,8 +206,8 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, scaling: str = "minma
 
 
 def elbow(df: DataFrame, key: str, features: Sequence[str], max_k: int = 10,
-          scaling: str = "minmax", method: str = "ml", restarts: int = 1, seed: int = 42,
-          iterations: int = 5, policy: RankPolicy = RankPolicy()) -> DataFrame:
+          scaling: str = "minmax", method: str = "ml", restarts: int = RESTARTS,
+          seed: int = 42) -> DataFrame:
     """Inertia for k = 1..max_k, its second difference and the suggested k.
 
     One cluster needs no fit: its inertia is the rows times the variance.
@@ -196,7 +218,7 @@ def elbow(df: DataFrame, key: str, features: Sequence[str], max_k: int = 10,
     costs = {1: float(sum(whole))}
     ks = list(range(2, max_k + 1))
     if method == "lloyd" and ks:
-        costs |= inertia(df, lloyd_many(df, key, features, ks, scaling, iterations, policy))
+        costs |= inertia(df, lloyd_many(df, key, features, ks, scaling))
     elif method == "ml":
         vectors = _vectors(df, scale, []).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -311,7 +333,7 @@ def cluster_boxes(df: DataFrame, cluster: str, metrics: Sequence[str],
 
 def labelled(df: DataFrame, labels: DataFrame, cluster: str, column: str) -> DataFrame:
     """Rows with ``"<id> - <label>"`` of their cluster."""
-    names = F.broadcast(labels.select(cluster, "label"))  # k rows
+    names = labels.select(cluster, "label")
     text = F.concat(F.col(cluster).cast("string"), F.lit(" - "),
                     F.coalesce("label", F.col(cluster).cast("string")))
     return df.join(names, cluster, "left").withColumn(column, text).drop("label")

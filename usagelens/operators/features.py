@@ -1,32 +1,69 @@
 """Per-user feature tables.
 
-All tables come from one kind of aggregate, ``groupBy(user)``, with every
-aggregate algebraic: map-side partial aggregation reduces a user holding a third
-of all sessions to one row per task before the shuffle.  Handset look-ups (last
-seen, most frequent) are aggregates of the same ``groupBy``, so there is no
-second shuffle and no join back.  :func:`user_features` builds every table's
-columns in a single pass; the single-table functions ask for fewer columns.
+Sums, counts and means come from ``groupBy(user)`` with algebraic hash aggregates: map-side
+partial aggregation reduces a user holding a third of all sessions to one row per task before
+the shuffle.  Handset look-ups (last seen, most frequent) need text, which hash aggregates
+cannot hold.  Tables with a handset are therefore summed per (user, handset) first, again
+with plain hash aggregates over numbers, and the few rows per user that remain are combined
+in a second, small aggregate.  :func:`user_features` builds every table's columns in a single
+pass; the single-table functions ask for fewer columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from usagelens.operators.cleaning import UNKNOWN
 from usagelens.schema import DEFAULT, SessionSchema, require
 
 
-def _per_user(df: DataFrame, schema: SessionSchema, aggregates: list[Column]) -> DataFrame:
+@dataclass(frozen=True)
+class _Measure:
+    """An aggregate in two steps: over sessions, then over what those gave."""
+
+    name: str
+    kind: str
+    value: Column
+
+    def first(self) -> list[Column]:
+        if self.kind == "count":
+            return [F.count(self.value).alias(self.name)]
+        total = F.sum(self.value).alias(self.name)
+        return [total, F.count(self.value).alias(f"{self.name} n")] if self.kind == "mean" \
+            else [total]
+
+    def second(self) -> Column:
+        total = F.sum(f"`{self.name}`")
+        if self.kind == "mean":
+            total = F.try_divide(total, F.sum(f"`{self.name} n`"))
+        return total.alias(self.name)
+
+    def single(self) -> Column:
+        kinds = {"count": F.count, "sum": F.sum, "mean": F.avg}
+        return kinds[self.kind](self.value).alias(self.name)
+
+
+def _per_user(df: DataFrame, schema: SessionSchema, measures: Sequence[_Measure],
+              handsets: Sequence[str] = (), looks: Sequence[Column] = (),
+              inner: Sequence[Column] = ()) -> DataFrame:
+    """Measures per user; with handsets also ``looks`` over rows per (user, handset), which
+    hold the columns ``inner``."""
     require(df, [schema.user], "per-user features")
-    return df.where(F.col(schema.user).isNotNull()).groupBy(schema.user).agg(*aggregates)
+    known = df.where(F.col(schema.user).isNotNull())
+    if not handsets:
+        return known.groupBy(schema.user).agg(*[m.single() for m in measures])
+    per_handset = known.groupBy(schema.user, *handsets).agg(
+        *[c for m in measures for c in m.first()], *inner)
+    return per_handset.groupBy(schema.user).agg(*[m.second() for m in measures], *looks)
 
 
-def _volume_sums(schema: SessionSchema) -> list[Column]:
-    return [F.sum(schema.duration).alias("total_duration_ms"),
-            F.sum(schema.total_downlink).alias("total_dl_bytes"),
-            F.sum(schema.total_uplink).alias("total_ul_bytes")]
+def _volume_sums(schema: SessionSchema) -> list[_Measure]:
+    return [_Measure("total_duration_ms", "sum", F.col(schema.duration)),
+            _Measure("total_dl_bytes", "sum", F.col(schema.total_downlink)),
+            _Measure("total_ul_bytes", "sum", F.col(schema.total_uplink))]
 
 
 def _total(df: DataFrame, schema: SessionSchema) -> Column:
@@ -35,31 +72,55 @@ def _total(df: DataFrame, schema: SessionSchema) -> Column:
     return F.col(schema.total_downlink) + F.col(schema.total_uplink)
 
 
-def _last_seen(df: DataFrame, schema: SessionSchema, column: str) -> Column:
-    """Last non-null value in time order; ties are broken by the row's own values."""
-    order = [c for c in (schema.order, "bearer_id", schema.handset, schema.manufacturer,
-                         schema.total_downlink) if c in df.columns]
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order))).alias(column)
+_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+SEEN, TIMES = "last seen", "times seen"
+
+
+def _seen_key(df: DataFrame, schema: SessionSchema) -> Column:
+    """Time and bearer id packed into one number, which a hash aggregate can take the maximum of.
+
+    A missing time or bearer counts as the smallest.
+    """
+    def digits(c: str, kind: type | None) -> Column:
+        value = F.unix_micros(F.col(c).cast("timestamp")) if isinstance(kind, _TIMES) else F.col(c)
+        return F.expr("cast(0 as decimal(38,0))") + F.coalesce(
+            value.cast("decimal(20,0)"), F.lit(-10 ** 17).cast("decimal(20,0)"))
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    key = digits(schema.order, types[schema.order]) if schema.order in types else F.expr(
+        "cast(0 as decimal(38,0))")
+    if isinstance(types.get("bearer_id"), (T.IntegralType, T.DecimalType)):
+        key = key * F.expr("cast('100000000000000000000' as decimal(38,0))") + digits(
+            "bearer_id", None)
+    return key.cast("decimal(38,0)")
+
+
+def _last_seen(column: str, handsets: Sequence[str]) -> Column:
+    """Last non-null value in time order; equal times fall to the larger name."""
+    return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(f"`{SEEN}`", *handsets))
+                    ).alias(column)
 
 
-def _modal_handset(schema: SessionSchema, alias: str) -> Column:
-    """Most frequent handset, smallest name on a tie (map of the user's own handsets)."""
-    return F.coalesce(F.mode(schema.handset, True), F.lit(UNKNOWN)).alias(alias)
+def _modal_handset(schema: SessionSchema) -> Column:
+    """Most frequent handset, smallest name on a tie, over rows per (user, handset)."""
+    handset = F.col(schema.handset)
+    return F.coalesce(F.min_by(handset, F.when(handset.isNotNull(), F.struct(
+        -F.col(f"`{TIMES}`"), handset))), F.lit(UNKNOWN)).alias(schema.handset)
 
 
-def _app_totals(df: DataFrame, schema: SessionSchema) -> list[Column]:
+def _app_totals(df: DataFrame, schema: SessionSchema) -> list[_Measure]:
     """Per application: downlink plus uplink, a missing volume counting as zero."""
     out = []
     for app, columns in schema.present_apps(df):
         cell = F.coalesce(F.col(columns[0]), F.lit(0.0))
         for c in columns[1:]:
             cell = cell + F.coalesce(F.col(c), F.lit(0.0))
-        out.append(F.sum(cell).alias(app.total))
+        out.append(_Measure(app.total, "sum", cell))
     return out
 
 
-def _quality_means(df: DataFrame, schema: SessionSchema) -> list[Column]:
-    return [F.avg(c).alias(name)
+def _quality_means(df: DataFrame, schema: SessionSchema) -> list[_Measure]:
+    return [_Measure(name, "mean", F.col(c))
             for m in schema.quality
             for c, name in ((m.downlink, m.downlink_mean), (m.uplink, m.uplink_mean))
             if c in df.columns]
@@ -76,27 +137,28 @@ def _combined_quality(df: DataFrame, schema: SessionSchema) -> dict[str, Column]
 def user_overview(df: DataFrame, schema: SessionSchema = DEFAULT) -> DataFrame:
     """Sessions, duration, volumes, per-direction application sums, last handset."""
     handsets = [c for c in (schema.manufacturer, schema.handset) if c in df.columns]
-    return _per_user(df, schema, [
-        F.count(schema.duration).alias("sessions_count"),
-        *_volume_sums(schema),
-        F.sum(_total(df, schema)).alias("total_data_bytes"),
-        *[F.sum(c).alias(f"{c}_sum") for c in schema.app_columns(df)],
-        *[_last_seen(df, schema, c) for c in handsets]])
+    measures = [_Measure("sessions_count", "count", F.col(schema.duration)),
+                *_volume_sums(schema), _Measure("total_data_bytes", "sum", _total(df, schema)),
+                *[_Measure(f"{c}_sum", "sum", F.col(c)) for c in schema.app_columns(df)]]
+    return _per_user(df, schema, measures, handsets, [_last_seen(c, handsets) for c in handsets],
+                     [F.max(_seen_key(df, schema)).alias(SEEN)])
 
 
 def user_last_handset(df: DataFrame, schema: SessionSchema = DEFAULT) -> DataFrame:
     """Manufacturer and type last seen per user, each the last non-null one."""
-    return _per_user(df, schema, [_last_seen(df, schema, c)
-                                  for c in (schema.manufacturer, schema.handset)])
+    handsets = [schema.manufacturer, schema.handset]
+    return _per_user(df, schema, [], handsets, [_last_seen(c, handsets) for c in handsets],
+                     [F.max(_seen_key(df, schema)).alias(SEEN)])
 
 
 def user_modal_handset(df: DataFrame, schema: SessionSchema = DEFAULT) -> DataFrame:
-    return _per_user(df, schema, [_modal_handset(schema, schema.handset)])
+    return _per_user(df, schema, [], [schema.handset], [_modal_handset(schema)],
+                     [F.count("*").alias(TIMES)])
 
 
 def user_engagement(df: DataFrame, schema: SessionSchema = DEFAULT) -> DataFrame:
     """Session count, duration and traffic per user."""
-    sums = _per_user(df, schema, [F.count(schema.duration).alias("sessions_frequency"),
+    sums = _per_user(df, schema, [_Measure("sessions_frequency", "count", F.col(schema.duration)),
                                   *_volume_sums(schema)])
     return sums.withColumn("total_traffic_bytes",
                            F.col("total_dl_bytes") + F.col("total_ul_bytes"))
@@ -109,8 +171,12 @@ def user_app_traffic(df: DataFrame, schema: SessionSchema = DEFAULT) -> DataFram
 
 def user_experience(df: DataFrame, schema: SessionSchema = DEFAULT) -> DataFrame:
     """Mean service quality per user and the most frequent handset."""
-    handset = [_modal_handset(schema, schema.handset)] if schema.handset in df.columns else []
-    means = _per_user(df, schema, _quality_means(df, schema) + handset)
+    measures = _quality_means(df, schema)
+    if schema.handset in df.columns:
+        means = _per_user(df, schema, measures, [schema.handset], [_modal_handset(schema)],
+                          [F.count("*").alias(TIMES)])
+    else:
+        means = _per_user(df, schema, measures)
     return means.withColumns(_combined_quality(df, schema))
 
 
@@ -137,16 +203,19 @@ def user_features(df: DataFrame, schema: SessionSchema = DEFAULT,
     unknown = set(parts) - set(PARTS)
     if unknown:
         raise ValueError(f"unknown feature part(s): {', '.join(sorted(unknown))}")
-    aggregates, derived = [], {}
+    measures, derived = [], {}
     if "engagement" in parts:
-        aggregates += [F.count(schema.duration).alias("sessions_frequency"),
-                       *_volume_sums(schema)]
+        measures += [_Measure("sessions_frequency", "count", F.col(schema.duration)),
+                     *_volume_sums(schema)]
         derived["total_traffic_bytes"] = F.col("total_dl_bytes") + F.col("total_ul_bytes")
     if "traffic" in parts:
-        aggregates += _app_totals(df, schema)
+        measures += _app_totals(df, schema)
     if "experience" in parts:
-        aggregates += _quality_means(df, schema)
-        if schema.handset in df.columns:
-            aggregates.append(_modal_handset(schema, schema.handset))
+        measures += _quality_means(df, schema)
         derived |= _combined_quality(df, schema)
-    return _per_user(df, schema, aggregates).withColumns(derived)
+    if "experience" in parts and schema.handset in df.columns:
+        users = _per_user(df, schema, measures, [schema.handset], [_modal_handset(schema)],
+                          [F.count("*").alias(TIMES)])
+    else:
+        users = _per_user(df, schema, measures)
+    return users.withColumns(derived)

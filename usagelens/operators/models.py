@@ -21,8 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from usagelens.functions.cuts import border_rows, bucket, tie_key
-from usagelens.functions.orderstats import RankPolicy
+from usagelens.functions.cuts import border_rows, bucket
 from usagelens.operators.scoring import SCORE_FEATURES
 from usagelens.schema import DEFAULT, SessionSchema
 from usagelens.workspace import allow_rdd_checkpoints
@@ -40,6 +39,10 @@ CANDIDATES: dict[str, dict[str, Any]] = {
 }
 
 
+#: Candidate split points per feature of the tree models.
+MAX_BINS = 512
+
+
 # -- splits ------------------------------------------------------------------
 
 def split_bucket(key: str | Column, seed: int = SEED) -> Column:
@@ -56,8 +59,8 @@ def train_test_split(df: DataFrame, key: str, test_pct: int = 20,
     return df.where(~is_test), df.where(is_test)
 
 
-def with_fold(df: DataFrame, key: str, folds: int = FOLDS, mode: str = "contiguous",
-              policy: RankPolicy = RankPolicy()) -> DataFrame:
+def with_fold(df: DataFrame, key: str, folds: int = FOLDS,
+              mode: str = "contiguous") -> DataFrame:
     """Add ``fold`` 0..folds-1: contiguous in key order, or by hash.
 
     Contiguous folds have sizes differing by one at most, the larger first.  Only
@@ -67,7 +70,7 @@ def with_fold(df: DataFrame, key: str, folds: int = FOLDS, mode: str = "contiguo
         return df.withColumn("fold", (split_bucket(key) % folds).cast("int"))
     if mode != "contiguous":
         raise ValueError(f"unknown fold mode {mode!r}")
-    tie = tie_key(df, key)
+    own = F.col(key)
 
     def last_ranks(n: int) -> list[int]:
         if n < folds:
@@ -75,8 +78,10 @@ def with_fold(df: DataFrame, key: str, folds: int = FOLDS, mode: str = "contiguo
         small, larger = divmod(n, folds)
         return [i * small + min(i, larger) for i in range(1, folds)]
 
-    borders = border_rows(df, tie, tie, [i / folds for i in range(1, folds)], last_ranks, policy)
-    return df.withColumn("fold", bucket(tie, tie, borders, first=0))
+    borders = border_rows(df, own, own, last_ranks)
+    if not borders:
+        raise ValueError("no rows to fold")
+    return df.withColumn("fold", bucket(own, own, borders, first=0))
 
 
 # -- ridge -------------------------------------------------------------------
@@ -151,9 +156,9 @@ def fit_ridge(df: DataFrame, features: Sequence[str] = SCORE_FEATURES, target: s
 
 def ridge_cv(df: DataFrame, key: str, features: Sequence[str] = SCORE_FEATURES,
              target: str = TARGET, alpha: float = 1.0, folds: int = FOLDS,
-             mode: str = "contiguous", policy: RankPolicy = RankPolicy()) -> DataFrame:
+             mode: str = "contiguous") -> DataFrame:
     """RMSE of ridge on each fold: one pass fits all folds, one scores them."""
-    table = with_fold(df, key, folds, mode, policy)
+    table = with_fold(df, key, folds, mode)
     numbered = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
     fits = (table.withColumn("left_out", numbered).where(F.col("left_out") != F.col("fold"))
             .groupBy("left_out").agg(*_moments(features, target)).collect())
@@ -172,7 +177,7 @@ def ridge_cv(df: DataFrame, key: str, features: Sequence[str] = SCORE_FEATURES,
 def _forest(name: str, features: Sequence[str], target: str, params: Mapping[str, Any],
             seed: int) -> Pipeline:
     common = {"featuresCol": "features", "labelCol": target, "predictionCol": PREDICTION,
-              "seed": seed, "maxDepth": params["max_depth"]}
+              "seed": seed, "maxDepth": params["max_depth"], "maxBins": MAX_BINS}
     if name == "gradient_boosting":
         stage = GBTRegressor(maxIter=params["n_estimators"], stepSize=params["learning_rate"],
                              **common)
@@ -183,17 +188,6 @@ def _forest(name: str, features: Sequence[str], target: str, params: Mapping[str
                             stage])
 
 
-ROWS_PER_TASK = 50_000
-
-
-def _right_sized(df: DataFrame) -> DataFrame:
-    """Boosting runs hundreds of short jobs; on a small table task start-up dominates.
-
-    Never more tasks than before, and as many as the rows can fill.
-    """
-    return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
-
-
 def fit_model(df: DataFrame, name: str, features: Sequence[str] = SCORE_FEATURES,
               target: str = TARGET, params: Mapping[str, Any] | None = None,
               seed: int = SEED) -> RidgeModel | PipelineModel:
@@ -204,8 +198,7 @@ def fit_model(df: DataFrame, name: str, features: Sequence[str] = SCORE_FEATURES
     if name == "ridge":
         return fit_ridge(df, features, target, settings["alpha"])
     allow_rdd_checkpoints(df.sparkSession)
-    return _forest(name, features, target, settings, seed).fit(
-        _right_sized(df.select(*features, target)))
+    return _forest(name, features, target, settings, seed).fit(df.select(*features, target))
 
 
 def score(df: DataFrame, model: RidgeModel | PipelineModel) -> DataFrame:
@@ -255,10 +248,10 @@ def regression_metrics(scored: DataFrame, target: str = TARGET,
 
 def forest_cv(df: DataFrame, key: str, name: str, features: Sequence[str] = SCORE_FEATURES,
               target: str = TARGET, params: Mapping[str, Any] | None = None,
-              folds: int = FOLDS, mode: str = "contiguous", parallelism: int = FOLDS,
-              policy: RankPolicy = RankPolicy()) -> DataFrame:
+              folds: int = FOLDS, mode: str = "contiguous",
+              parallelism: int = FOLDS) -> DataFrame:
     """RMSE of a tree model on each fold; folds are fitted side by side."""
-    table = with_fold(df.select(key, *features, target), key, folds, mode, policy)
+    table = with_fold(df.select(key, *features, target), key, folds, mode)
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def one(fold: int) -> tuple[int, int, float]:

@@ -78,7 +78,12 @@ def satisfaction_table(engagement: DataFrame, experience: DataFrame,
     """Both scores of every user present on both sides, and their mean."""
     left = engagement.select(schema.user, "engagement_score")
     right = experience.select(schema.user, "experience_score")
-    return left.join(right, schema.user).withColumn(
+    return with_satisfaction(left.join(right, schema.user), schema)
+
+
+def with_satisfaction(scored: DataFrame, schema: SessionSchema = DEFAULT) -> DataFrame:
+    """User and scores of a table that holds both scores already."""
+    return scored.select(schema.user, *SCORE_FEATURES).withColumn(
         "satisfaction_score", (F.col("engagement_score") + F.col("experience_score")) / 2)
 
 

@@ -61,40 +61,44 @@ def describe_variables(df: DataFrame, schema: SessionSchema = DEFAULT) -> DataFr
     return column_types(df).join(stats, "variable", "left")
 
 
-# What the columns of a session record mean.
-FIELD_MEANINGS = (
-    ("user_id", "Categorical (ID)", "Unique user identifier (mobile number)"),
-    ("bearer_id", "Categorical (ID)", "Unique session/bearer identifier"),
-    ("start_ms / end_ms", "Integer", "Session start and end timestamps in milliseconds"),
-    ("dur_ms", "Float", "Total session duration in milliseconds"),
-    ("imsi", "Categorical (ID)", "International Mobile Subscriber Identity"),
-    ("imei", "Categorical (ID)", "International Mobile Equipment Identity (device ID)"),
-    ("handset_manufacturer", "Categorical", "Manufacturer of the user's handset"),
-    ("handset_type", "Categorical", "Specific model of the user's handset"),
-    ("rtt_dl_ms / rtt_ul_ms", "Float", "Average round trip time per direction (latency)"),
-    ("tp_dl_kbps / tp_ul_kbps", "Float", "Average bearer throughput per direction in kbit/s"),
-    ("tcp_dl_bytes / tcp_ul_bytes", "Float", "Volume of TCP retransmitted data per direction"),
-    ("social_media_dl / social_media_ul", "Float", "Data volume of social media applications"),
-    ("google_dl / google_ul", "Float", "Data volume of Google services"),
-    ("email_dl / email_ul", "Float", "Data volume of email applications"),
-    ("youtube_dl / youtube_ul", "Float", "Data volume of YouTube"),
-    ("netflix_dl / netflix_ul", "Float", "Data volume of Netflix"),
-    ("gaming_dl / gaming_ul", "Float", "Data volume of gaming applications"),
-    ("other_dl / other_ul", "Float", "Data volume of all other applications"),
-    ("total_dl / total_ul", "Float", "Total data volume across all applications"),
-    ("total_data", "Float", "Combined volume of both directions per session"),
-)
+_WAYS = {"dl": "downlink", "ul": "uplink"}
+_QUALITY_TEXT = {"rtt": "round-trip time in milliseconds", "tp": "throughput in kbit/s",
+                 "tcp": "TCP retransmissions in bytes"}
+_OWN_TEXT = {"bearer_id": "session", "user_id": "user", "imsi": "subscriber card",
+             "imei": "device"}
+
+
+def field_meanings(schema: SessionSchema = DEFAULT) -> list[tuple[str, str, str]]:
+    """Name, kind and description of every column a session record can have, by its role."""
+    rows = [(c, "identifier", f"identifier of the {what}") for c, what in _OWN_TEXT.items()]
+    for end in ("start", "end"):
+        rows += [(f"{end}_ts", "time", f"{end} of the session"),
+                 (f"{end}_ms", "time", f"{end} of the session, millisecond part")]
+    rows += [(schema.duration, "measure", "duration of the session in milliseconds"),
+             (schema.manufacturer, "category", "maker of the handset"),
+             (schema.handset, "category", "model of the handset")]
+    for metric in schema.quality:
+        text = _QUALITY_TEXT[metric.downlink.split("_")[0]]
+        rows += [(c, "measure", f"{way} {text}") for c, way in
+                 zip((metric.downlink, metric.uplink), _WAYS.values())]
+    rows += [(c, "measure", f"{app.title} {way} volume in bytes") for app in schema.applications
+             for c, way in zip(app.columns, _WAYS.values())]
+    return rows + [(schema.total_downlink, "measure", "total downlink volume in bytes"),
+                   (schema.total_uplink, "measure", "total uplink volume in bytes"),
+                   (schema.total, "measure", "total volume of both directions in bytes")]
 
 
 def field_dictionary(df: DataFrame, schema: SessionSchema = DEFAULT) -> DataFrame:
-    """Meaning of each column together with its type and fill level in ``df``."""
-    meanings = small_table(
-        df, [(name, kind, text) for names, kind, text in FIELD_MEANINGS
-             for name in names.split(" / ")],
-        "variable string, kind string, description string")
+    """Meaning of each column together with its type and fill level in ``df``.
+
+    Columns that ``df`` lacks have no type; columns without a known meaning have no text.
+    """
+    meanings = small_table(df, field_meanings(schema),
+                           "variable string, kind string, description string")
     filled = df.agg(*[F.count(c).alias(c) for c in df.columns]) \
                .unpivot([], df.columns, "variable", "filled")
-    return (column_types(df).join(meanings, "variable").join(filled, "variable")
+    held = column_types(df).join(filled, "variable")
+    return (meanings.join(held, "variable", "full")
             .select("variable", "kind", "description", "dtype", "filled"))
 
 

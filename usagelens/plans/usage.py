@@ -21,26 +21,27 @@ from usagelens.workspace import materialise
 
 
 class UsagePlan:
-    """Lazy nodes of the analysis over one session table.
+    """Lazy nodes of the analysis over one session table, raw or already ``cleaned``.
 
     ``parts`` limits the work to the features of interest: only their columns are
     scanned, cleaned and aggregated.  ``method`` is ``"ml"`` (restarted
-    k-means||) or ``"lloyd"`` (reproducible start, fixed iterations).
+    k-means||) or ``"lloyd"`` (reproducible start, run until it stands still).
     """
 
     def __init__(self, sessions: DataFrame, schema: SessionSchema = DEFAULT,
-                 parts: Sequence[str] = features.PARTS, method: str = "ml",
+                 parts: Sequence[str] = features.PARTS, method: str = "ml", cleaned: bool = False,
                  id_policy: str = "drop", quantile_mode: str = "exact",
-                 restarts: int = 3, iterations: int = 5, k_engagement: int = 3,
+                 restarts: int = clustering.RESTARTS, k_engagement: int = 3,
                  k_experience: int = 3, k_satisfaction: int = 2,
                  policy: RankPolicy = RankPolicy()) -> None:
         if method not in ("ml", "lloyd"):
             raise ValueError(f"unknown clustering method {method!r}")
         self.schema, self.parts, self.method = schema, tuple(parts), method
         self.id_policy, self.quantile_mode = id_policy, quantile_mode
-        self.restarts, self.iterations, self.policy = restarts, iterations, policy
+        self.restarts, self.policy = restarts, policy
         self.k_engagement, self.k_experience = k_engagement, k_experience
         self.k_satisfaction = k_satisfaction
+        self.already_clean = cleaned
         self.sessions = sessions.select(*features.part_inputs(sessions, schema, self.parts))
 
     @cached_property
@@ -54,7 +55,12 @@ class UsagePlan:
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        return self.cleaning.transform(self._typed)
+        return self.sessions if self.already_clean else self.cleaning.transform(self._typed)
+
+    @cached_property
+    def overview(self) -> DataFrame:
+        """Sessions, volumes and last handset per user, of whatever columns ``parts`` keeps."""
+        return materialise(features.user_overview(self.cleaned, self.schema), "user_overview")
 
     @cached_property
     def users(self) -> DataFrame:
@@ -81,21 +87,26 @@ class UsagePlan:
              order_by: str) -> clustering.Segmentation:
         present = [m for m in metrics if m in df.columns]
         if self.method == "lloyd":
-            return clustering.lloyd(df, self.schema.user, present, k, scaling, self.iterations,
-                                    self.policy)
+            return clustering.lloyd(df, self.schema.user, present, k, scaling)
         return clustering.kmeans(df, present, k, scaling, self.restarts, order_by=order_by)
 
+    @cached_property
+    def _engagement_fit(self) -> clustering.Segmentation:
+        return self._fit(self.engagement, ENGAGEMENT_METRICS, self.k_engagement, "minmax",
+                         "total_traffic_bytes")
+
+    @cached_property
+    def _experience_fit(self) -> clustering.Segmentation:
+        return self._fit(self.experience, EXPERIENCE_METRICS, self.k_experience, "standard",
+                         "avg_tcp_retransmission")
+
     @cached_property
     def engagement_clustered(self) -> DataFrame:
-        fit = self._fit(self.engagement, ENGAGEMENT_METRICS, self.k_engagement, "minmax",
-                        "total_traffic_bytes")
-        return fit.assign(self.engagement, "engagement_cluster")
+        return self._engagement_fit.assign(self.engagement, "engagement_cluster")
 
     @cached_property
     def experience_clustered(self) -> DataFrame:
-        fit = self._fit(self.experience, EXPERIENCE_METRICS, self.k_experience, "standard",
-                        "avg_tcp_retransmission")
-        return fit.assign(self.experience, "experience_cluster")
+        return self._experience_fit.assign(self.experience, "experience_cluster")
 
     @cached_property
     def engagement_labels(self) -> DataFrame:
@@ -108,10 +119,11 @@ class UsagePlan:
 
     @cached_property
     def satisfaction(self) -> DataFrame:
-        table = scoring.satisfaction_table(
-            scoring.engagement_score(self.engagement_clustered),
-            scoring.experience_score(self.experience_clustered), self.schema)
-        return materialise(table, "satisfaction")
+        """Both scores side by side: one projection of the user table, no join."""
+        clustered = self._experience_fit.assign(
+            self._engagement_fit.assign(self.users, "engagement_cluster"), "experience_cluster")
+        scored = scoring.experience_score(scoring.engagement_score(clustered))
+        return materialise(scoring.with_satisfaction(scored, self.schema), "satisfaction")
 
     @cached_property
     def satisfaction_segmentation(self) -> clustering.Segmentation:

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from usagelens.schema import APPLICATIONS
-from usagelens.workspace import spread
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -25,8 +24,7 @@ def _unless(broken: Column, value: Column) -> Column:
 
 def session_view(spark: SparkSession, directory: str) -> DataFrame:
     """Sessions derived from ``lineitem``, ``orders`` and ``part``."""
-    line = spread(read_table(spark, directory, "lineitem").drop("l_returnflag", "l_linestatus"),
-                  "l_orderkey")
+    line = read_table(spark, directory, "lineitem").drop("l_returnflag", "l_linestatus")
     orders = read_table(spark, directory, "orders").select("o_orderkey", "o_custkey")
     part = read_table(spark, directory, "part").select("p_partkey", "p_brand", "p_name")
     joined = (line.join(orders, line.l_orderkey == orders.o_orderkey)
@@ -41,11 +39,13 @@ def session_view(spark: SparkSession, directory: str) -> DataFrame:
 
     return joined.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("bearer_id"),
-        F.col("o_custkey").alias("user_id"),
+        _unless(F.col("l_orderkey") % 61 == 0, F.col("o_custkey")).alias("user_id"),
         F.col("l_shipdate").alias("start_ts"),
         _unless(F.col("l_orderkey") % 37 == 0, F.col("p_brand")).alias("handset_manufacturer"),
         _unless(F.col("l_orderkey") % 41 == 0, F.col("p_name")).alias("handset_type"),
-        (quantity * 60000).alias("dur_ms"),
+        _unless(F.col("l_orderkey") % 53 == 0,
+                F.when(F.col("l_orderkey") % 59 == 0, quantity * 1_500_000)
+                 .otherwise(quantity * 60000)).alias("dur_ms"),
         _unless(F.col("l_suppkey") % 10 == 0,
                 (F.col("l_partkey") % 196 + 5).cast("double")).alias("rtt_dl_ms"),
         (F.col("l_suppkey") % 97 + 5).cast("double").alias("rtt_ul_ms"),
@@ -57,6 +57,7 @@ def session_view(spark: SparkSession, directory: str) -> DataFrame:
         (retransmitted / 2).alias("tcp_ul_bytes"),
         *[volume(i, 97).alias(a.downlink) for i, a in enumerate(APPLICATIONS, 1)],
         *[volume(i, 11).alias(a.uplink) for i, a in enumerate(APPLICATIONS, 1)],
-        (price * 1000).alias("total_dl"),
+        F.when(F.col("l_orderkey") % 67 == 0, price * 30_000)
+         .otherwise(price * 1000).alias("total_dl"),
         (price * 100 * (F.col("l_discount") + 1)).alias("total_ul"),
     )

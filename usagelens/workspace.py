@@ -4,35 +4,26 @@ Iterative operators (k-means, elbow, cross validation) read one small-ish user
 table many times.  It is written once as Parquet below the cluster's shared
 checkpoint folder and read back: that cuts the lineage, survives the loss of
 executors, and keeps column pruning and size statistics for the re-reads.
+
+The folder is always named by the session.  All of one application lies in one
+folder of its own, which :func:`drop_scratch` deletes when the work is done.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_root: str | None = None
-
-
-def _own_local_root(spark: SparkSession) -> str:
-    global _local_root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="usagelens-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return _local_root
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a private one only in local mode."""
+    """This application's folder below the shared one that the session names."""
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/") if named else _own_local_root(spark)
+    if not named:
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+    return f"{named.rstrip('/')}/usagelens-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -47,15 +38,10 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input that is scanned in fewer tasks than there are cores.
-
-    A small file arrives as one or two splits.  On a large table the scan already
-    has more splits than cores and this is a no-op: no shuffle is added.
-    """
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if splits < cores else df
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has materialised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def allow_rdd_checkpoints(spark: SparkSession) -> None:
