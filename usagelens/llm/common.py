@@ -18,18 +18,22 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+
+
 def prepare(spark: SparkSession) -> None:
     """Settings an operator relies on; what the session already names is kept.
 
     A scratch folder of our own is made only where none is named and the driver and the
     executors are one process, as in tests.
     """
-    if not spark.conf.get(CHECKPOINT_DIR, None):
+    if not shared_folder(spark):
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         own = tempfile.mkdtemp(prefix="usagelens-llm-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.conf.set(CHECKPOINT_DIR, f"file://{own}")
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
     if int(spark.conf.get(ARROW_ROWS)) > BATCH_ROWS:
         spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     workers, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
@@ -41,7 +45,8 @@ def prepare(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder of the session."""
     prepare(spark)
-    return f"{spark.conf.get(CHECKPOINT_DIR).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark).rstrip("/")
+    return f"{folder}/llm-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
