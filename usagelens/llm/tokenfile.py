@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,51 +40,57 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 MAGIC = b"PLANES01"
 BLOCK = 1 << 16
 CACHE = 400_000
+#: Units: letters and digits with the space before them; an apostrophe with what belongs to
+#: it; other signs with the space before them; white space.
+UNITS = re.compile(r" ?[^\W_]+|'(?:[^\w\s]|_)*[^\W_]*| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
+#: White space here, but not for the tokenizer: such a text is one unit.
+ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class LibraryEncoder:
     """Batches of texts to packed ids through the tokenizers library.
 
-    A space between two characters that are no white space always begins a new match of the
-    tokenizer's splitting pattern.  Texts are cut there and the library encodes each distinct
-    segment once; a text with other spaces is encoded as a whole.
+    Texts are cut into units at places where the tokenizer's splitting pattern always ends a
+    match, and the library encodes each unit that is not in the cache.  The cache has two
+    generations of at most ``CACHE`` units; a unit that is met again moves to the young one,
+    so frequent units stay.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     @lru_cache(2)
     def load(path: str) -> LibraryEncoder:
         return LibraryEncoder(path)
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _known(self, wanted: set[str]) -> dict[str, bytes]:
+        """The cache with all wanted units in it."""
+        if len(self.young) + len(wanted) > CACHE:
+            self.old, self.young = self.young, {}
+        old, fresh = self.old, []
+        for unit in wanted.difference(self.young):
+            packed = old.get(unit)
+            if packed is None:
+                fresh.append(unit)
+            else:
+                self.young[unit] = packed
+        found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
+        pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
+        for unit, e in zip(fresh, found):
+            ids = e.ids
+            self.young[unit] = (pack[len(ids)](*ids) if len(ids) < 64
+                                else np.array(ids, "<u4").tobytes())
+        return self.young
 
     def many(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
-        for text in texts:
-            head, *tail = text.split(" ")
-            heads.append(head)
-            tails.append(tail)
-        new = set().union(*tails).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set().union(*tails)
-        uncut = {s for s in new if not s or s[0].isspace() or s[-1].isspace()}
-        whole = [i for i, (head, tail) in enumerate(zip(heads, tails))
-                 if tail and (head[-1:].isspace() or not uncut.isdisjoint(tail))]
-        for i in whole:
-            heads[i], tails[i] = texts[i], []
-        fresh = list(new - uncut)
-        self.known.update(zip(fresh, self._packed([" " + s for s in fresh])))
-        packed = self.known.__getitem__
-        return [head + b"".join(map(packed, tail))
-                for head, tail in zip(self._packed(heads), tails)]
+        cut = [[t] if ODD_SPACE.search(t) else UNITS(t) for t in texts]
+        packed = self._known(set().union(*cut)).__getitem__
+        return [b"".join(map(packed, units)) for units in cut]
 
 
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
