@@ -155,8 +155,8 @@ sessions_query("impute_category_mode",
                lambda s: cleaning.impute(s.select("bearer_id", "user_id", "handset_manufacturer",
                                                   "handset_type")),
                "bearer_id:long user_id:long handset_manufacturer handset_type",
-               "SELECT bearer_id, user_id, "
-               + ", ".join(f"coalesce({c}, (SELECT {c} FROM s WHERE {c} IS NOT NULL GROUP BY {c} "
+               "SELECT bearer_id, coalesce(user_id, (SELECT trunc(avg(user_id)) FROM s)) AS "
+               "user_id, " + ", ".join(f"coalesce({c}, (SELECT {c} FROM s WHERE {c} IS NOT NULL GROUP BY {c} "
                            f"ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}"
                            for c in ("handset_manufacturer", "handset_type")) + " FROM s")
 

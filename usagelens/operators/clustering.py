@@ -122,6 +122,27 @@ class Segmentation:
         return df.withColumn(column, nearest["cluster"])
 
 
+def _chosen(centroids: dict[int, Centroids], ks: Sequence[int]) -> Column:
+    """For each k the nearest cluster of ``point``, lowest id on a tie.
+
+    The centroids are one array literal.  Unlike numbers it is no part of the generated code,
+    so the code compiled for the first iteration serves all others.
+    """
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[
+        F.array(*[F.lit(float(x)) for x in c]) for c in centroids[k]]).alias("at")) for k in ks])
+
+    def distance(c: Column) -> Column:
+        squares = F.zip_with("point", c, lambda a, b: (a - b) * (a - b))
+        return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
+
+    def nearest(fit: Column) -> Column:
+        far = F.transform(fit["at"], distance)
+        return F.struct(fit["k"].alias("k"), (F.array_position(far, F.array_min(far)) - 1)
+                        .cast("int").alias("cluster"))
+
+    return F.transform(table, nearest)
+
+
 def lloyd_many(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int],
                scaling: str = "minmax",
                max_iterations: int = MAX_ITERATIONS) -> dict[int, Segmentation]:
@@ -129,21 +150,17 @@ def lloyd_many(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[in
     require(df, [key, *features], "k-means")
     scale = fit_scaling(df, features, scaling)
     seeds = seed_rows(df, key, scale, ks)
-    names = [f"x{i}" for i in range(len(features))]
-    points = df.select(*[c.alias(n) for n, c in zip(names, scale.columns())]) \
+    points = df.select(F.array(*scale.columns()).alias("point")) \
                .persist(StorageLevel.MEMORY_AND_DISK)
-    columns, moving = [F.col(n) for n in names], list(ks)
+    means_of = [F.avg(F.get("point", F.lit(i))).alias(f"x{i}") for i in range(len(features))]
+    moving = list(ks)
     try:
         for _ in range(max_iterations):
             if not moving:
                 break
-            chosen = F.array(*[F.struct(F.lit(k).alias("k"),
-                                        _nearest(columns, seeds[k])["cluster"].alias("cluster"))
-                               for k in moving])
-            means = (points.select(*names, F.explode(chosen).alias("m"))
-                     .groupBy("m.k", "m.cluster").agg(*[F.avg(n).alias(n) for n in names])
-                     .collect())
-            moved = {(r.k, r.cluster): tuple(r[n] for n in names) for r in means}
+            means = (points.select("point", F.explode(_chosen(seeds, moving)).alias("m"))
+                     .groupBy("m.k", "m.cluster").agg(*means_of).collect())
+            moved = {(r.k, r.cluster): tuple(r[2:]) for r in means}
             # a cluster nobody chose keeps its centroid
             after = {k: tuple(moved.get((k, i), c) for i, c in enumerate(seeds[k]))
                      for k in moving}
