@@ -188,11 +188,12 @@ def grouped(rows: DataFrame, bits: int = BITS) -> DataFrame:
     roots = stored(components(links(classes, bits)), "roots")
     linked = roots.join(classes, roots["node"] == classes["fingerprint"])
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    groups = classes.join(
+    # stored, so that the last join is between two exchanges and a hot class can be split
+    groups = stored(classes.join(
         roots.join(least, "root").select(F.col("node").alias("fingerprint"), "root", "least"),
         "fingerprint", "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root"),
-        F.coalesce("least", "first").alias("component_id"))
+        F.coalesce("least", "first").alias("component_id")), "groups")
     return rows.join(groups, "fingerprint")
 
 
