@@ -50,6 +50,23 @@ def test_checksums_confirm_and_context_raises():
     assert near > plain
 
 
+def test_codes_end_where_the_country_says():
+    for code in ("ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "BE68 5390 0754 7034",
+                 "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874",
+                 "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for after in ("", " EUR 500", " EUR", " EUROS", " A", ".", " and", " FR14"):
+            found = [s[:3] for s in pii.spans_of(f"to {code}{after}") if s[0] == "iban"]
+            assert found == [("iban", 3, 3 + len(code))], (code, after)
+    both = "AB12 ES91 2100 0418 4502 0005 1332 BE68 5390 0754 7034 EUR"
+    assert [s[1:3] for s in pii.spans_of(both) if s[0] == "iban"] == [(5, 34), (35, 54)]
+    assert pii.masked_text("ES9121000418450200051332 EUR") == "[IBAN] EUR"
+
+
+def test_an_address_part_of_many_zeros():
+    text = f"1.2.3.{'0' * 5000}4 and {'0' * 5000}.0.0.1"
+    assert [s[0] for s in pii.spans_of(text) if s[0] == "ip"] == ["ip", "ip"]
+
+
 def test_columns_over_awkward_documents(documents, document_rows):
     spans = pii.find(whole_text())
     rows = documents.select("doc_id", whole_text().alias("t"), spans.alias("s")).select(

@@ -3,7 +3,8 @@
 Kinds in order: ``email``, ``ip``, ``card``, ``phone`` (the base kinds), ``iban``, ``ssn``.
 A span of a base kind stands on its pattern and validator (parts of an address at most 255,
 Luhn for cards, numbers of digits); a failing match is dropped and not retried.  ``iban`` is
-confirmed by the remainder 97 of its rearranged digits.  ``ssn`` has no checksum and is kept
+confirmed by the remainder 97 of its rearranged digits; its end is where the country's length
+ends, or else the last end of a word that is confirmed.  ``ssn`` has no checksum and is kept
 only if a word nearby speaks for it.  Every span has a score: the kind's own, more for a
 context word within ``NEAR`` code points, at most 1.
 
@@ -29,6 +30,15 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # kinds of this method
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Characters of a code by country.
+IBAN_LENGTH = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for country in countries.split()}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -72,7 +82,7 @@ def emails(text: str) -> Spans:
 
 def ips(text: str) -> Spans:
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             yield m.span()
 
 
@@ -91,11 +101,26 @@ def phones(text: str) -> Spans:
                 yield m.span()
 
 
+def iban_end(run: str) -> int | None:
+    """Where the code at the beginning of a match ends."""
+    ends = [i for i, c in enumerate(run) if c == " "] + [len(run)]
+    codes = {end: run[:end].replace(" ", "") for end in reversed(ends)}
+    known = IBAN_LENGTH.get(run[:2])
+    # of a known country its own length, and only then the whole match
+    tried = (codes if known is None else
+             [*(end for end, code in codes.items() if len(code) == known), len(run)])
+    return next((end for end in tried
+                 if 15 <= len(codes[end]) <= 34 and mod97(codes[end])), None)
+
+
 def ibans(text: str) -> Spans:
-    for m in IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+    m = IBAN.search(text)
+    while m:
+        end = iban_end(m[0])
+        if end is not None:
+            yield m.start(), m.start() + end
+        # what a match took in besides the code can begin another one
+        m = IBAN.search(text, m.start() + (end or 1))
 
 
 def ssns(text: str) -> Spans:
