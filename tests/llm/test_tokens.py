@@ -81,6 +81,16 @@ def test_files_hold_all_documents_in_order(spark, documents, document_rows):
     check_files(spark, documents, document_rows, block=100, bits=True)
 
 
+def test_added_tokens_are_found_as_by_the_plain_call():
+    plain = Tokenizer.from_file(tokenfile.TOKENIZER)
+    encoder = tokenfile.LibraryEncoder(tokenfile.TOKENIZER)
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a  <|endoftext|>\n\nb<|endoftext|>", "<|endoftext",
+             "no token here", "", "odd\x1cspace <|endoftext|> x", "odd\x1cspace  x"]
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.many(texts)]
+    assert found == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert found[0] == [87, 220, 50256, 331]
+
+
 def test_no_documents_make_no_files(spark, no_documents):
     manifest = tokenfile.write(no_documents)
     assert manifest.count() == 0 and tokenfile.read(spark, manifest).count() == 0

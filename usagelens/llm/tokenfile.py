@@ -43,7 +43,7 @@ CACHE = 400_000
 #: Units: letters and digits with the space before them; an apostrophe with what belongs to
 #: it; other signs with the space before them; white space.
 UNITS = re.compile(r" ?[^\W_]+|'(?:[^\w\s]|_)*[^\W_]*| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
-#: White space here, but not for the tokenizer: such a text is one unit.
+#: White space here, but not for the tokenizer: such a text is encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -51,7 +51,9 @@ class LibraryEncoder:
     """Batches of texts to packed ids through the tokenizers library.
 
     Texts are cut into units at places where the tokenizer's splitting pattern always ends a
-    match, and the library encodes each unit that is not in the cache.  The cache has two
+    match, and the library encodes each unit that is not in the cache.  A text that contains
+    an added token (such as an end mark it quotes) goes to the library whole, which gives the
+    token's own id.  The cache has two
     generations of at most ``CACHE`` units; a unit that is met again moves to the young one,
     so frequent units stay.
     """
@@ -59,7 +61,8 @@ class LibraryEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = re.compile("|".join([ODD_SPACE.pattern, *(re.escape(t.content) for t in added)]))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -88,9 +91,14 @@ class LibraryEncoder:
         return self.young
 
     def many(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if ODD_SPACE.search(t) else UNITS(t) for t in texts]
-        packed = self._known(set().union(*cut)).__getitem__
-        return [b"".join(map(packed, units)) for units in cut]
+        cut = [None if self.whole.search(t) else UNITS(t) for t in texts]
+        packed = self._known(set().union(*filter(None, cut))).__getitem__
+        return [self._whole(t) if units is None else b"".join(map(packed, units))
+                for t, units in zip(texts, cut)]
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
 
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
