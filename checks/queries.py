@@ -827,24 +827,26 @@ satisfaction_query("ridge_cv", "fold:int rows:long rmse:7",
                     "WHERE i <> fo.fold)", S.ridge("folds", "w", "left_out")])
 
 
-def hold_out_metrics(name: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda t: models.train(t, name, with_cv=False)[1]
+def run_record(name: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda t: models.train(t, name)[1]
 
 
-satisfaction_query("train_gbt", None, None, hold_out_metrics("gradient_boosting"))
-satisfaction_query("train_rf", None, None, hold_out_metrics("random_forest"))
+satisfaction_query("train_gbt", None, None, run_record("gradient_boosting"))
+satisfaction_query("train_rf", None, None, run_record("random_forest"))
 satisfaction_query("satisfaction_model", None, None,
                    lambda t: models.train(t, "gradient_boosting", with_cv=False)[1].select(
                        "mse", "rmse", "r2", "train_duration_sec", "run_id"))
 satisfaction_query("gbt_cv", None, None,
                    lambda t: models.cross_validate(t, "user_id", "gradient_boosting"))
-satisfaction_query("model_comparison", None, None, lambda t: models.train_all(t, with_cv=False))
+satisfaction_query("rf_cv", None, None,
+                   lambda t: models.cross_validate(t, "user_id", "random_forest"))
+satisfaction_query("model_comparison", None, None, lambda t: models.train_all(t))
 
 
 def _logged_runs(t: DataFrame) -> DataFrame:
     path = scratch_path(t.sparkSession, "runs")
-    for name in ("ridge", "random_forest"):
-        models.append_run(models.train(t, name, with_cv=name == "ridge")[1], path)
+    for name in models.CANDIDATES:
+        models.append_run(models.train(t, name)[1], path)
     return t.sparkSession.read.parquet(path)
 
 
