@@ -1,4 +1,4 @@
-"""Shared session, fixtures and small helpers."""
+"""Shared session and fixtures."""
 
 import sys
 from pathlib import Path
@@ -6,16 +6,14 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from usagelens.operators import features  # noqa: E402
 from usagelens.operators.cleaning import clean  # noqa: E402
 from usagelens.schema import APPLICATIONS  # noqa: E402
-from usagelens.sources.files import nan_to_null  # noqa: E402
-
-TESTDATA = Path("/root/testdata/sf0.001")
+from session_helpers import to_spark  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -59,17 +57,6 @@ def raw_frame(n=400, users=60, seed=7) -> pd.DataFrame:
     return df
 
 
-def to_spark(spark, pdf: pd.DataFrame):
-    """NaN and NaT become null; the user is a whole number."""
-    df = nan_to_null(spark.createDataFrame(pdf))
-    if "user_id" in df.columns:
-        df = df.withColumn("user_id", F.col("user_id").cast("long"))
-    for c in ("handset_type", "handset_manufacturer"):
-        if c in df.columns:
-            df = df.withColumn(c, F.when(F.col(c) != "NaN", F.col(c)))
-    return df
-
-
 @pytest.fixture(scope="session")
 def raw() -> pd.DataFrame:
     return raw_frame()
@@ -90,7 +77,3 @@ def cleaned(sessions):
 @pytest.fixture(scope="session")
 def users(cleaned):
     return features.user_features(cleaned).persist()
-
-
-def plan_text(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

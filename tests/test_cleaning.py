@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import to_spark
+from session_helpers import to_spark
 from usagelens.functions.orderstats import RankPolicy
 from usagelens.operators import cleaning
 from usagelens.schema import DEFAULT

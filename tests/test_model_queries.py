@@ -3,7 +3,7 @@
 import pytest
 
 from checks.queries import REGISTRY
-from conftest import TESTDATA
+from session_helpers import TESTDATA
 from usagelens.operators import models
 
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="no test data")

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import TESTDATA, plan_text
+from session_helpers import TESTDATA, plan_text
 from usagelens.operators import cleaning, features, ranking, segments, statistics
 from usagelens.sources.warehouse import session_view
 

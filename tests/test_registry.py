@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as contract
 from checks.compare import compare, connect
 from checks.queries import REGISTRY
-from conftest import TESTDATA
+from session_helpers import TESTDATA
 
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="no test data")
 
