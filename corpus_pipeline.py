@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from usagelens.llm import bpe, decontaminate, nearcopies, pii, quality
+from usagelens.llm import bpe, decontaminate, pii, quality, simhash
 from usagelens.llm.common import prepare, stored, table, whole_text
 
 #: A trained classifier, fingerprints and a tokenizer are beyond SQL.
@@ -23,9 +23,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that agree to 0.8 or more in five-word shingles the smallest id stays."""
+    """Of each group of fingerprints linked at three bits or fewer the smallest id stays."""
     prepare(spark)
-    return nearcopies.one_per_group(docs)
+    return simhash.one_per_group(docs, simhash.WORDS, simhash.BITS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
