@@ -38,5 +38,5 @@ def test_awkward_documents_pass(spark, documents, no_documents):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [len(corpus_pipeline.STAGES)] == [5] and set(queries.ORACLES) <= set(queries.QUERIES)
