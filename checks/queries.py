@@ -360,24 +360,30 @@ sessions_query("correlation_with_gaps",
                                   for a in S.QUALITY for b in S.QUALITY))
 
 
-@query("pca_explained")
-def _pca_explained(spark, d):
-    s = cleaned_sessions(spark, d)
-    return components.fit_components(s, DEFAULT.app_columns(s)).explained(s)
-
-
-@query("pca_loadings")
-def _pca_loadings(spark, d):
-    s = cleaned_sessions(spark, d)
-    return components.fit_components(s, DEFAULT.app_columns(s)).loadings(s)
-
-
-@query("pca_scores")
-def _pca_scores(spark, d):
-    s = cleaned_sessions(spark, d)
-    return components.fit_components(s, DEFAULT.app_columns(s)).scores(s, ["bearer_id"])
-
-
+_PCA = S.components(S.APP_COLUMNS)
+_ENTRIES = {c: [f"max(v) FILTER (WHERE c = {c} AND i = {i + 1})" for i in range(len(S.APP_COLUMNS))]
+            for c in (1, 2)}
+_VARIABLES = ", ".join(f"({i}, '{c}')" for i, c in enumerate(S.APP_COLUMNS, 1))
+
+
+def app_components(s: DataFrame) -> components.Components:
+    return components.fit_components(s, DEFAULT.app_columns(s))
+
+
+cleaned_query("pca_explained", lambda s: app_components(s).explained(s),
+              "component explained_ratio:8 explained_pct:6",
+              f"SELECT 'PC' || c AS component, l / {len(S.APP_COLUMNS)} AS explained_ratio, "
+              f"100.0 * l / {len(S.APP_COLUMNS)} AS explained_pct FROM pc", _PCA)
+cleaned_query("pca_loadings", lambda s: app_components(s).loadings(s), "variable PC1:7 PC2:7",
+              "SELECT variable, max(v) FILTER (WHERE c = 1) AS PC1, max(v) FILTER (WHERE c = 2) AS PC2 "
+              f"FROM pv JOIN (VALUES {_VARIABLES}) n(i, variable) USING (i) GROUP BY variable", _PCA)
+cleaned_query("pca_scores", lambda s: app_components(s).scores(s, ["bearer_id"]),
+              "bearer_id:long PC1:6 PC2:6",
+              "SELECT bearer_id, " + ", ".join(
+                  " + ".join(f"z{i} * e{c}_{i}" for i in range(1, len(S.APP_COLUMNS) + 1))
+                  + f" AS PC{c}" for c in (1, 2)) + " FROM pz, (SELECT "
+              + ", ".join(f"{e} AS e{c}_{i}" for c in (1, 2) for i, e in enumerate(_ENTRIES[c], 1))
+              + " FROM pv)", _PCA)
 cleaned_query("app_boxplot_stats", statistics.app_box_statistics,
                "application count:long mean:3 min:3 whisker_low:3 q1:3 median:3 q3:3 "
                "whisker_high:3 max:3 outliers:long",
@@ -489,6 +495,29 @@ def _elbow_curve(spark, d):
 
 @query("elbow_curve_ml")
 def _elbow_curve_ml(spark, d):
+    return clustering.elbow(plan(spark, d, "engagement").engagement, "user_id",
+                            ENGAGEMENT_METRICS, 10, method="ml")
+
+
+def restart_costs(df: DataFrame, features: Sequence[str], ks: Sequence[int], scaling: str) -> DataFrame:
+    """Per k the starts, the cost of the rank-chosen one, and whether the kept fit is no dearer."""
+    found = clustering.restarted_many(df, "user_id", features, ks, scaling)
+    rows = [(k, len(f.costs), f.costs[0], f.cost <= f.costs[0]) for k, f in found.items()]
+    return df.sparkSession.createDataFrame(rows, "k int, starts int, rank_cost double, no_dearer boolean")
+
+
+COST_SPEC = "k:int starts:int rank_cost:4 no_dearer"
+
+
+@query("engagement_restarts", COST_SPEC, _elbow_oracle()[0],
+       "SELECT k, 10 AS starts, inertia AS rank_cost, true AS no_dearer FROM curve WHERE k > 1")
+def _engagement_restarts(spark, d):
+    return restart_costs(plan(spark, d, "engagement").engagement, ENGAGEMENT_METRICS,
+                         range(2, 11), "minmax")
+
+
+@query("elbow_curve_restarts")
+def _elbow_curve_restarts(spark, d):
     return clustering.elbow(plan(spark, d, "engagement").engagement, "user_id",
                             ENGAGEMENT_METRICS, 10)
 
@@ -611,6 +640,12 @@ def _experience_clusters_ml(spark, d):
     return plan(spark, d, "experience", method="ml").experience_clustered
 
 
+query("experience_restarts", COST_SPEC, EXPC,
+      "SELECT 3 AS k, 10 AS starts, sum(d) AS rank_cost, true AS no_dearer FROM expc")(
+    lambda spark, d: restart_costs(plan(spark, d, "experience").experience, EXPERIENCE_METRICS, [3],
+                                   "standard"))
+
+
 def experience_table(operator, *more):
     return lambda spark, d: operator(plan(spark, d, "experience").experience_clustered,
                                      "experience_cluster", *more)
@@ -724,6 +759,10 @@ satisfaction_query("default_inputs", "engagement_score:6 experience_score:6",
                    "experience_score FROM sat", reports.default_inputs)
 query("satisfaction_clusters", f"user_id:long {SCORE_SPEC} satisfaction_cluster:int", SATC,
       "SELECT * FROM satc")(lambda spark, d: plan(spark, d).satisfaction_clustered)
+query("satisfaction_restarts", COST_SPEC, SATC,
+      "SELECT 2 AS k, 10 AS starts, sum(d) AS rank_cost, true AS no_dearer FROM satc")(
+    lambda spark, d: restart_costs(plan(spark, d).satisfaction, scoring.SCORE_FEATURES, [2],
+                                   "standard"))
 MEANS = ("SELECT satisfaction_cluster, avg(engagement_score) AS engagement_score, "
          "avg(experience_score) AS experience_score, avg(satisfaction_score) AS satisfaction_score "
          "FROM satc GROUP BY satisfaction_cluster")
@@ -831,6 +870,37 @@ def run_record(name: str) -> Callable[[DataFrame], DataFrame]:
     return lambda t: models.train(t, name)[1]
 
 
+#: A boosted model small enough for its twin to grow the same trees.
+SMALL = {"n_estimators": 4, "learning_rate": 0.3, "max_depth": 2, "bins": 12}
+_HELD_OUT = S.boosted(list(scoring.SCORE_FEATURES), models.TARGET, ["NOT is_test"], 4, 2, 12, 0.3)
+_FOLD_MODELS = S.boosted(list(scoring.SCORE_FEATURES), models.TARGET, [f"fold <> {i}" for i in range(5)],
+                         4, 2, 12, 0.3)
+
+
+def small_boosted(t: DataFrame) -> models.Boosted:
+    settings = {**models.CANDIDATES["gradient_boosting"], **SMALL}
+    return models.boosted_hold_out(t, "user_id", scoring.SCORE_FEATURES, models.TARGET, settings,
+                                   with_cv=False)[0]
+
+
+def _stored_tree_scores(t: DataFrame) -> DataFrame:
+    """Train, store the nodes, load them and score by the expression they stand for."""
+    path = scratch_path(t.sparkSession, "boosted")
+    models.save_model(t, small_boosted(t), path)
+    return models.score_or_average(t, path)
+
+
+satisfaction_query("gbt_nodes", "tree:int node:int feature threshold:6 value:6",
+                   "SELECT * FROM gnodes",
+                   lambda t: small_boosted(t).as_table(t.sparkSession), [S.FOLDED, *_HELD_OUT])
+satisfaction_query("score_users_gbt", f"user_id:long {SCORE_SPEC} predicted_satisfaction:6",
+                   "SELECT sat.*, f AS predicted_satisfaction FROM sat JOIN gm4 USING (user_id)",
+                   _stored_tree_scores, [S.FOLDED, *_HELD_OUT])
+satisfaction_query("gbt_cv_small", "fold:int rows:long rmse:7",
+                   "SELECT m AS fold, count(*) AS rows, sqrt(avg((y - f) * (y - f))) AS rmse FROM gm4 "
+                   "WHERE NOT trains GROUP BY m",
+                   lambda t: models.cross_validate(t, "user_id", "gradient_boosting", params=SMALL),
+                   [S.FOLDED, *_FOLD_MODELS])
 satisfaction_query("train_gbt", None, None, run_record("gradient_boosting"))
 satisfaction_query("train_rf", None, None, run_record("random_forest"))
 satisfaction_query("satisfaction_model", None, None,

@@ -293,6 +293,60 @@ def ridge(source: str, out: str, by: str = "") -> str:
   covar_samp({x}, {y}) * (count(*) - 1) AS gxy FROM {source}{group})))"""
 
 
+#: Users with their fold and whether they are held out.
+FOLDED = ("fo AS MATERIALIZED (SELECT *, CAST(ntile(5) OVER (ORDER BY user_id) - 1 AS INTEGER) AS "
+          f"fold, {IS_TEST} AS is_test FROM sat)")
+
+
+def boosted(features: Sequence[str], target: str, members: Sequence[str], trees: int, depth: int,
+            bins: int, rate: float, source: str = "fo") -> list[str]:
+    """Boosted trees, one model per training condition: ``gm{trees}`` has a row per user and model
+    ``m`` with the prediction ``f``, ``gnodes`` the nodes of all models."""
+    fs = range(len(features))
+    ctes = [f"gr AS MATERIALIZED (SELECT *, count(*) OVER () AS n, " + _join(
+        [f"row_number() OVER (ORDER BY {x}, user_id) AS r{i}" for i, x in enumerate(features)])
+        + f" FROM {source})"]
+    for i, x in enumerate(features):
+        ctes.append(f"ge{i} AS MATERIALIZED (SELECT list(v ORDER BY v) AS e FROM (SELECT DISTINCT {x} AS v "
+                    f"FROM gr, range(1, {bins}) t(i) WHERE r{i} = (n * i + {bins - 1}) // {bins}))")
+    binned = _join([f"len([v for v in ge{i}.e if v < {x}]) AS b{i}" for i, x in enumerate(features)])
+    trains = " ".join(f"WHEN {m} THEN {c}" for m, c in enumerate(members))
+    ctes += [f"gb AS MATERIALIZED (SELECT gr.user_id, {target} AS y, m, CASE m {trains} END AS trains, "
+             f"{binned} FROM gr, {_join([f'ge{i}' for i in fs])}, range({len(members)}) t(m))",
+             "gm0 AS MATERIALIZED (SELECT *, avg(y) FILTER (WHERE trains) OVER (PARTITION BY m) AS f FROM gb)"]
+    nodes = ["SELECT m, -1 AS tree, 1 AS node, NULL AS ft, NULL AS threshold, any_value(f) AS value FROM gm0 "
+             "GROUP BY m"]
+    for t in range(trees):
+        ctes.append(f"gn{t}_0 AS MATERIALIZED (SELECT *, 1 AS node, y - f AS r FROM gm{t})")
+        for level in range(depth):
+            now = f"gn{t}_{level}"
+            sides = " UNION ALL ".join(f"SELECT m, node, r, {i} AS ft, b{i} AS b FROM {now} WHERE trains "
+                                       f"AND node >= {2 ** level}" for i in fs)
+            pick = "CASE ft " + " ".join(f"WHEN {i} THEN b{i}" for i in fs) + " END"
+            ctes += [
+                f"gh{t}_{level} AS MATERIALIZED (SELECT m, node, ft, cut, count(*) FILTER (WHERE b <= cut) AS "
+                f"nl, sum(r) FILTER (WHERE b <= cut) AS sl, count(*) AS n, sum(r) AS s FROM ({sides}), "
+                f"range({bins - 1}) c(cut) GROUP BY m, node, ft, cut)",
+                f"gs{t}_{level} AS MATERIALIZED (SELECT m, node, ft, cut FROM (SELECT *, row_number() OVER "
+                "(PARTITION BY m, node ORDER BY ft, cut) AS pick FROM (SELECT *, max(g) OVER w AS top, "
+                "max(p) OVER w AS most FROM (SELECT *, p - s * s / n AS g FROM (SELECT *, sl * sl / nl + "
+                f"(s - sl) * (s - sl) / (n - nl) AS p FROM gh{t}_{level} WHERE nl > 0 AND nl < n)) WINDOW w AS "
+                "(PARTITION BY m, node)) WHERE top > 1e-12 * most AND g >= top * (1 - 1e-9)) WHERE pick = 1)",
+                f"gn{t}_{level + 1} AS MATERIALIZED (SELECT * EXCLUDE (node, ft, cut), CASE WHEN ft IS NULL "
+                f"THEN node WHEN {pick} > cut THEN 2 * node + 1 ELSE 2 * node END AS node FROM {now} "
+                f"LEFT JOIN gs{t}_{level} USING (m, node))"]
+            edges = " ".join(f"WHEN {i} THEN (SELECT e[cut + 1] FROM ge{i})" for i in fs)
+            nodes.append(f"SELECT m, {t}, node, ft, CASE ft {edges} END, NULL FROM gs{t}_{level}")
+        ctes += [f"gl{t} AS MATERIALIZED (SELECT m, node, {rate} * avg(r) FILTER (WHERE trains) AS v "
+                 f"FROM gn{t}_{depth} GROUP BY m, node)",
+                 f"gm{t + 1} AS MATERIALIZED (SELECT * EXCLUDE (f, node, r, v), f + v AS f FROM gn{t}_{depth} "
+                 f"JOIN gl{t} USING (m, node))"]
+        nodes.append(f"SELECT m, {t}, node, NULL, NULL, v FROM gl{t}")
+    names = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(features))
+    return [*ctes, "gnodes AS MATERIALIZED (SELECT m AS model, tree, node, CASE ft " + names
+            + " END AS feature, threshold, value FROM (" + " UNION ALL ".join(nodes) + "))"]
+
+
 def long_form(columns: Sequence[str], source: str = "s", keep: Sequence[str] = (),
               variable: str = "variable") -> str:
     return " UNION ALL ".join(
@@ -345,6 +399,44 @@ def grids(points: str, n: int, keep: str = "") -> str:
   count(*) AS count FROM l JOIN r ON l.variable = r.variable GROUP BY ALL"""
 
 
+#: Squarings of the correlation matrix: its 2^13th power leaves one direction to rounding.
+SQUARINGS = 13
+
+
+def components(columns: Sequence[str], k: int = 2) -> list[str]:
+    """Power iteration with deflation: ``pc(c, l)`` are eigenvalues, ``pv(c, i, v)`` unit vectors
+    whose largest entry is positive, ``pz`` the standardised columns z1, z2, ..."""
+    d = range(1, len(columns) + 1)
+    stats = _join([f"avg(coalesce({c}, 0)) AS a{i}, stddev_pop(coalesce({c}, 0)) AS w{i}"
+                   for i, c in zip(d, columns)])
+    zs = _join([f"(coalesce({c}, 0) - a{i}) / CASE WHEN w{i} = 0 THEN 1 ELSE w{i} END AS z{i}"
+                for i, c in zip(d, columns)])
+    pairs = _join([f"avg(z{i} * z{j}) AS p{i}_{j}" for i in d for j in d if i <= j])
+    cells = _join([f"({i}, {j}, p{min(i, j)}_{max(i, j)})" for i in d for j in d])
+    ctes = [f"pz AS MATERIALIZED (SELECT s.*, {zs} FROM s, (SELECT {stats} FROM s))",
+            f"pm AS MATERIALIZED (SELECT {pairs} FROM pz)",
+            f"d1 AS MATERIALIZED (SELECT i, j, v FROM pm, LATERAL (VALUES {cells}) t(i, j, v))"]
+    for c in range(1, k + 1):
+        before = f"d{c}"
+        for step in range(SQUARINGS):
+            ctes.append(f"d{c}_{step} AS MATERIALIZED (SELECT i, j, v / sum(v) FILTER (WHERE i = j) "
+                        f"OVER () AS v FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {before} a "
+                        f"JOIN {before} b ON a.j = b.i GROUP BY a.i, b.j))")
+            before = f"d{c}_{step}"
+        ctes += [f"v{c} AS MATERIALIZED (SELECT j AS i, v / sqrt(sum(v * v) OVER ()) AS v FROM {before} "
+                 f"WHERE i = (SELECT i FROM {before} WHERE i = j ORDER BY v DESC, i LIMIT 1))",
+                 f"l{c} AS MATERIALIZED (SELECT sum(a.v * m.v * b.v) AS l FROM d{c} m JOIN v{c} a "
+                 f"ON a.i = m.i JOIN v{c} b ON b.i = m.j)",
+                 f"d{c + 1} AS MATERIALIZED (SELECT m.i, m.j, m.v - l * a.v * b.v AS v FROM d{c} m "
+                 f"JOIN v{c} a ON a.i = m.i JOIN v{c} b ON b.i = m.j, l{c})"]
+    parts = range(1, k + 1)
+    ctes += ["pc AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {c} AS c, l FROM l{c}" for c in parts) + ")",
+             "pv AS MATERIALIZED (" + " UNION ALL ".join(
+                 f"SELECT {c} AS c, i, v * (SELECT sign(v) FROM v{c} ORDER BY abs(v) DESC, i LIMIT 1) "
+                 f"AS v FROM v{c}" for c in parts) + ")"]
+    return ctes
+
+
 _MEANT = [("bearer_id", "identifier", "identifier of the session"),
           ("user_id", "identifier", "identifier of the user"),
           ("imsi", "identifier", "identifier of the subscriber card"),

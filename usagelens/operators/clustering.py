@@ -1,11 +1,11 @@
 """K-means segments and the tables derived from them.
 
-Two ways to fit.  ``kmeans`` uses ``pyspark.ml``: several restarts over one
-cached vector column, the cheapest kept, cluster ids made stable by ordering
-them on a named metric.  ``lloyd`` runs plain Lloyd iterations from rank-chosen
-rows until no centroid moves: fully reproducible, so it can be checked against SQL.
-Each Lloyd iteration is one partial-aggregated pass whose k x d result becomes
-literals of the next, so plans never grow, and several k share the same passes.
+Three ways to fit.  ``lloyd`` runs Lloyd rounds from rank-chosen rows until no centroid
+moves: fully reproducible, so it can be checked against SQL.  ``restarted`` also runs them
+from drawn starts and keeps the cheapest fit, which is never dearer than the rank-chosen one.
+Both use ``operators.kmeans``: all k and all starts share every round.  ``kmeans`` fits one k
+with ``pyspark.ml``, several restarts over one cached vector column.  Where starts are drawn,
+cluster ids are made stable by ordering them on a named metric.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from usagelens.functions.cuts import border_rows
 from usagelens.functions.long import to_long
 from usagelens.functions.orderstats import RankPolicy
+from usagelens.operators.kmeans import Points, drawn_start, settle
 from usagelens.operators.statistics import box_statistics, grid_counts
 from usagelens.schema import require
 
@@ -30,6 +32,9 @@ MAX_ITERATIONS, RESTARTS = 300, 10
 #: A centroid that moves by less (in scaled units) stands still: rounding of sums.
 STILL = 1e-12
 
+#: Ways to fit: drawn restarts, one rank-chosen start, ``pyspark.ml``.
+METHODS = ("restarts", "lloyd", "ml")
+
 ENGAGEMENT_LABELS = ("Low", "Medium", "High")
 EXPERIENCE_LABELS = ("Good", "Average", "Poor")
 
@@ -122,58 +127,26 @@ class Segmentation:
         return df.withColumn(column, nearest["cluster"])
 
 
-def _chosen(centroids: dict[int, Centroids], ks: Sequence[int]) -> Column:
-    """For each k the nearest cluster of ``point``, lowest id on a tie.
-
-    The centroids are one array literal.  Unlike numbers it is no part of the generated code,
-    so the code compiled for the first iteration serves all others.
-    """
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[
-        F.array(*[F.lit(float(x)) for x in c]) for c in centroids[k]]).alias("at")) for k in ks])
-
-    def distance(c: Column) -> Column:
-        squares = F.zip_with("point", c, lambda a, b: (a - b) * (a - b))
-        return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
-
-    def nearest(fit: Column) -> Column:
-        far = F.transform(fit["at"], distance)
-        return F.struct(fit["k"].alias("k"), (F.array_position(far, F.array_min(far)) - 1)
-                        .cast("int").alias("cluster"))
-
-    return F.transform(table, nearest)
-
-
 def lloyd_many(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int],
                scaling: str = "minmax",
                max_iterations: int = MAX_ITERATIONS) -> dict[int, Segmentation]:
-    """Fit several k side by side: every iteration reads ``df`` once for all that still move."""
+    """Fit several k side by side from rank-chosen rows."""
     require(df, [key, *features], "k-means")
     scale = fit_scaling(df, features, scaling)
-    seeds = seed_rows(df, key, scale, ks)
-    points = df.select(F.array(*scale.columns()).alias("point")) \
-               .persist(StorageLevel.MEMORY_AND_DISK)
-    means_of = [F.avg(F.get("point", F.lit(i))).alias(f"x{i}") for i in range(len(features))]
-    moving = list(ks)
+    points = Points(df, scale.columns())
     try:
-        for _ in range(max_iterations):
-            if not moving:
-                break
-            means = (points.select("point", F.explode(_chosen(seeds, moving)).alias("m"))
-                     .groupBy("m.k", "m.cluster").agg(*means_of).collect())
-            moved = {(r.k, r.cluster): tuple(r[2:]) for r in means}
-            # a cluster nobody chose keeps its centroid
-            after = {k: tuple(moved.get((k, i), c) for i, c in enumerate(seeds[k]))
-                     for k in moving}
-            moving = [k for k in moving if any(
-                abs(a - b) > STILL for old, new in zip(seeds[k], after[k])
-                for a, b in zip(old, new))]
-            seeds |= after
-        else:
-            if moving:
-                raise RuntimeError(f"k = {moving} still moves after {max_iterations} iterations")
+        found = settle(points, _rank_starts(df, key, scale, ks), STILL, max_iterations)
     finally:
-        points.unpersist()
-    return {k: Segmentation(scale, seeds[k]) for k in ks}
+        points.release()
+    return {k: _segmentation(scale, found[k]) for k in ks}
+
+
+def _rank_starts(df: DataFrame, key: str, scale: Scaling, ks: Sequence[int]) -> dict[int, np.ndarray]:
+    return {k: np.array(c) for k, c in seed_rows(df, key, scale, ks).items()}
+
+
+def _segmentation(scale: Scaling, centroids: np.ndarray) -> Segmentation:
+    return Segmentation(scale, tuple(tuple(float(x) for x in c) for c in centroids))
 
 
 def lloyd(df: DataFrame, key: str, features: Sequence[str], k: int,
@@ -188,6 +161,54 @@ def inertia(df: DataFrame, fits: dict[int, Segmentation]) -> dict[int, float]:
     return {k: row[str(k)] for k in fits}
 
 
+# -- restarts ----------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Restarted:
+    """The cheapest fit of one k and the cost of each start: 0 is the rank-chosen one."""
+
+    segmentation: Segmentation
+    costs: tuple[float, ...]
+
+    @property
+    def cost(self) -> float:
+        return min(self.costs)
+
+
+def restarted_many(df: DataFrame, key: str, features: Sequence[str], ks: Sequence[int],
+                   scaling: str = "minmax", restarts: int = RESTARTS, seed: int = 42,
+                   order_by: str | None = None,
+                   max_iterations: int = MAX_ITERATIONS) -> dict[int, Restarted]:
+    """For each k the cheapest of ``restarts`` fits, one from rank-chosen rows, the others from
+    drawn ones; of equally cheap fits the first.  Ids ascend with the centroid's ``order_by``."""
+    require(df, [key, *features], "k-means")
+    scale = fit_scaling(df, features, scaling)
+    points = Points(df, scale.columns())
+    try:
+        starts = {(k, 0): c for k, c in _rank_starts(df, key, scale, ks).items()}
+        sample = points.sample()
+        if len(sample):
+            starts |= {(k, r): drawn_start(sample, k, (seed, k, r))
+                       for k in ks for r in range(1, restarts)}
+        found = settle(points, starts, STILL, max_iterations)
+        costs = points.costs(found)
+    finally:
+        points.release()
+    lead, out = list(features).index(order_by or features[0]), {}
+    for k in ks:
+        own = [f for f in found if f[0] == k]
+        best = found[min(own, key=lambda f: (costs[f], f))]
+        centroids = sorted(best.tolist(), key=lambda c: (c[lead], c))
+        out[k] = Restarted(_segmentation(scale, np.array(centroids)),
+                           tuple(costs[f] for f in sorted(own)))
+    return out
+
+
+def restarted(df: DataFrame, key: str, features: Sequence[str], k: int, scaling: str = "minmax",
+              restarts: int = RESTARTS, seed: int = 42, order_by: str | None = None) -> Restarted:
+    return restarted_many(df, key, features, [k], scaling, restarts, seed, order_by)[k]
+
+
 # -- pyspark.ml --------------------------------------------------------------
 
 def _vectors(df: DataFrame, scale: Scaling, keep: Sequence[str]) -> DataFrame:
@@ -223,7 +244,7 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, scaling: str = "minma
 
 
 def elbow(df: DataFrame, key: str, features: Sequence[str], max_k: int = 10,
-          scaling: str = "minmax", method: str = "ml", restarts: int = RESTARTS,
+          scaling: str = "minmax", method: str = "restarts", restarts: int = RESTARTS,
           seed: int = 42) -> DataFrame:
     """Inertia for k = 1..max_k, its second difference and the suggested k.
 
@@ -236,6 +257,9 @@ def elbow(df: DataFrame, key: str, features: Sequence[str], max_k: int = 10,
     ks = list(range(2, max_k + 1))
     if method == "lloyd" and ks:
         costs |= inertia(df, lloyd_many(df, key, features, ks, scaling))
+    elif method == "restarts" and ks:
+        found = restarted_many(df, key, features, ks, scaling, restarts, seed)
+        costs |= {k: found[k].cost for k in ks}
     elif method == "ml":
         vectors = _vectors(df, scale, []).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -243,7 +267,7 @@ def elbow(df: DataFrame, key: str, features: Sequence[str], max_k: int = 10,
                 costs[k] = float(_cheapest(vectors, k, restarts, seed).summary.trainingCost)
         finally:
             vectors.unpersist()
-    elif method != "lloyd":
+    elif method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     curve = df.sparkSession.createDataFrame(sorted(costs.items()), "k int, inertia double")
     in_order = Window.partitionBy().orderBy("k")  # max_k rows

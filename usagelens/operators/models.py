@@ -1,8 +1,9 @@
 """Regression of the satisfaction score: training, validation, scoring.
 
-Trees come from ``pyspark.ml``.  Ridge is solved in closed form from one
-aggregate of means and covariances, so training reads the table once and all
-cross-validation folds share a single pass.
+Boosted trees are grown on histograms (``operators.boosting``), the hold-out model and those
+of all cross-validation folds in the same passes.  The random forest comes from ``pyspark.ml``.
+Ridge is solved in closed form from one aggregate of means and covariances, so training reads
+the table once and all folds share a single pass.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from usagelens.functions.cuts import border_rows, bucket
+from usagelens.operators.boosting import Boosted, Training, boost
 from usagelens.operators.scoring import SCORE_FEATURES
 from usagelens.schema import DEFAULT, SessionSchema
 from usagelens.workspace import allow_rdd_checkpoints
@@ -29,7 +31,7 @@ from usagelens.workspace import allow_rdd_checkpoints
 TARGET = "satisfaction_score"
 PREDICTION = "predicted_satisfaction"
 SEED = 42
-FOLDS = 5
+FOLDS, TEST_PCT = 5, 20
 
 # Hyper-parameters of the candidate models.
 CANDIDATES: dict[str, dict[str, Any]] = {
@@ -39,7 +41,7 @@ CANDIDATES: dict[str, dict[str, Any]] = {
 }
 
 
-#: Candidate split points per feature of the tree models.
+#: Candidate split points per feature of the random forest.
 MAX_BINS = 512
 
 
@@ -52,7 +54,7 @@ def split_bucket(key: str | Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
 
 
-def train_test_split(df: DataFrame, key: str, test_pct: int = 20,
+def train_test_split(df: DataFrame, key: str, test_pct: int = TEST_PCT,
                      seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Deterministic hold-out split by key; neither side shuffles."""
     is_test = split_bucket(key, seed) < test_pct
@@ -174,54 +176,68 @@ def ridge_cv(df: DataFrame, key: str, features: Sequence[str] = SCORE_FEATURES,
 
 # -- trees -------------------------------------------------------------------
 
-def _forest(name: str, features: Sequence[str], target: str, params: Mapping[str, Any],
-            seed: int) -> Pipeline:
-    common = {"featuresCol": "features", "labelCol": target, "predictionCol": PREDICTION,
-              "seed": seed, "maxDepth": params["max_depth"], "maxBins": MAX_BINS}
-    if name == "gradient_boosting":
-        stage = GBTRegressor(maxIter=params["n_estimators"], stepSize=params["learning_rate"],
-                             **common)
-    else:
-        stage = RandomForestRegressor(numTrees=params["n_estimators"],
-                                      featureSubsetStrategy="all", **common)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"),
-                            stage])
+def _forest(features: Sequence[str], target: str, params: Mapping[str, Any], seed: int) -> Pipeline:
+    forest = RandomForestRegressor(
+        numTrees=params["n_estimators"], maxDepth=params["max_depth"], maxBins=MAX_BINS,
+        featureSubsetStrategy="all", seed=seed, featuresCol="features", labelCol=target,
+        predictionCol=PREDICTION)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest])
+
+
+def fit_boosted(df: DataFrame, key: str, members: Sequence[Column], features: Sequence[str],
+                target: str, params: Mapping[str, Any]) -> Training:
+    """A boosted model per entry of ``members``, all of them in the same passes."""
+    more = {k: params[k] for k in ("bins",) if k in params}
+    return boost(df.select(*{key: None, **dict.fromkeys(features), target: None},
+                           *[m.alias(f"member {i}") for i, m in enumerate(members)]),
+                 features, target, key, [F.col(f"member {i}") for i in range(len(members))],
+                 params["n_estimators"], params["learning_rate"], params["max_depth"], **more)
+
+
+Model = RidgeModel | Boosted | PipelineModel
 
 
 def fit_model(df: DataFrame, name: str, features: Sequence[str] = SCORE_FEATURES,
               target: str = TARGET, params: Mapping[str, Any] | None = None,
-              seed: int = SEED) -> RidgeModel | PipelineModel:
+              seed: int = SEED) -> Model:
     """Fit one of the candidates by name."""
     if name not in CANDIDATES:
         raise ValueError(f"unknown model {name!r}")
     settings = {**CANDIDATES[name], **(params or {})}
     if name == "ridge":
         return fit_ridge(df, features, target, settings["alpha"])
+    if name == "gradient_boosting":
+        return fit_boosted(df, features[0], [F.lit(True)], features, target, settings).models[0]
     allow_rdd_checkpoints(df.sparkSession)
-    return _forest(name, features, target, settings, seed).fit(df.select(*features, target))
+    return _forest(features, target, settings, seed).fit(df.select(*features, target))
 
 
-def score(df: DataFrame, model: RidgeModel | PipelineModel) -> DataFrame:
+def score(df: DataFrame, model: Model) -> DataFrame:
     """Add ``predicted_satisfaction`` to every row."""
     kept = [c for c in df.columns if c != PREDICTION]
+    if isinstance(model, Boosted):
+        return model.transform(df.select(*kept), PREDICTION)
     return model.transform(df.select(*kept)).select(*kept, PREDICTION)
 
 
-def save_model(df: DataFrame, model: RidgeModel | PipelineModel, path: str) -> None:
-    if isinstance(model, RidgeModel):
+def save_model(df: DataFrame, model: Model, path: str) -> None:
+    if isinstance(model, (RidgeModel, Boosted)):
         model.save(df.sparkSession, path)
     else:
         model.write().overwrite().save(path)
 
 
-def load_model(spark: SparkSession, path: str) -> RidgeModel | PipelineModel:
+def load_model(spark: SparkSession, path: str) -> Model:
     """Read a stored model; a missing one is a ``FileNotFoundError``."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop_path):
         raise FileNotFoundError(f"no model at {path}; train one first")
     stages = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stages")
-    return PipelineModel.load(path) if fs.exists(stages) else RidgeModel.load(spark, path)
+    if fs.exists(stages):
+        return PipelineModel.load(path)
+    boosted = "threshold" in spark.read.parquet(path).columns
+    return Boosted.load(spark, path) if boosted else RidgeModel.load(spark, path)
 
 
 def score_or_average(df: DataFrame, path: str) -> DataFrame:
@@ -267,13 +283,39 @@ def forest_cv(df: DataFrame, key: str, name: str, features: Sequence[str] = SCOR
     return df.sparkSession.createDataFrame(rows, "fold int, rows long, rmse double")
 
 
+def boosted_cv(df: DataFrame, key: str, features: Sequence[str] = SCORE_FEATURES,
+               target: str = TARGET, params: Mapping[str, Any] | None = None, folds: int = FOLDS,
+               mode: str = "contiguous") -> DataFrame:
+    """RMSE of boosted trees on each fold; the folds' models are grown in the same passes."""
+    table = with_fold(df, key, folds, mode)
+    settings = {**CANDIDATES["gradient_boosting"], **(params or {})}
+    found = fit_boosted(table, key, [F.col("fold") != i for i in range(folds)], features, target,
+                        settings)
+    return df.sparkSession.createDataFrame(
+        list(zip(range(folds), found.unseen_rows, found.unseen_rmse)),
+        "fold int, rows long, rmse double")
+
+
 def cross_validate(df: DataFrame, key: str, name: str, **kwargs) -> DataFrame:
+    if name == "gradient_boosting":
+        return boosted_cv(df, key, **kwargs)
     if name == "ridge":
         kwargs.pop("params", None)
         return ridge_cv(df, key, **kwargs)
     return forest_cv(df, key, name, **kwargs)
 
 
+def boosted_hold_out(df: DataFrame, key: str, features: Sequence[str], target: str,
+                     params: Mapping[str, Any], with_cv: bool) -> tuple[Boosted, float | None]:
+    """The hold-out model and, from the same training, the mean RMSE over contiguous folds."""
+    members = [~(split_bucket(key) < TEST_PCT)]
+    if with_cv:
+        df = with_fold(df, key)
+        members += [F.col("fold") != i for i in range(FOLDS)]
+    found = fit_boosted(df, key, members, features, target, params)
+    return found.models[0], sum(found.unseen_rmse[1:]) / FOLDS if with_cv else None
+
+
 # -- tracking ----------------------------------------------------------------
 
 RUN_SCHEMA = ("model_name string, run_id string, start_time timestamp, end_time timestamp, "
@@ -285,16 +327,19 @@ RUN_SCHEMA = ("model_name string, run_id string, start_time timestamp, end_time
 def train(df: DataFrame, name: str = "gradient_boosting", key: str | None = None,
           features: Sequence[str] = SCORE_FEATURES, target: str = TARGET,
           params: Mapping[str, Any] | None = None, schema: SessionSchema = DEFAULT,
-          with_cv: bool = True) -> tuple[RidgeModel | PipelineModel, DataFrame]:
+          with_cv: bool = True) -> tuple[Model, DataFrame]:
     """Hold-out training of one model; returns it with a one-row run record."""
     key = key or schema.user
     training, test = train_test_split(df, key)
-    started = datetime.now(timezone.utc)
-    model = fit_model(training, name, features, target, params)
+    started, cv = datetime.now(timezone.utc), None
+    if name == "gradient_boosting":
+        model, cv = boosted_hold_out(df, key, features, target,
+                                     {**CANDIDATES[name], **(params or {})}, with_cv)
+    else:
+        model = fit_model(training, name, features, target, params)
     metrics = regression_metrics(score(test, model), target).first()
     ended = datetime.now(timezone.utc)
-    cv = None
-    if with_cv:
+    if with_cv and cv is None:
         cv = cross_validate(df, key, name, features=features, target=target,
                             params=params).agg(F.avg("rmse")).first()[0]
     settings = {**CANDIDATES[name], **(params or {}), "features": list(features), "seed": SEED}

@@ -24,17 +24,17 @@ class UsagePlan:
     """Lazy nodes of the analysis over one session table, raw or already ``cleaned``.
 
     ``parts`` limits the work to the features of interest: only their columns are
-    scanned, cleaned and aggregated.  ``method`` is ``"ml"`` (restarted
-    k-means||) or ``"lloyd"`` (reproducible start, run until it stands still).
+    scanned, cleaned and aggregated.  ``method`` is ``"restarts"`` (the
+    cheapest of several starts), ``"lloyd"`` (one rank-chosen start) or ``"ml"`` (``pyspark.ml``).
     """
 
     def __init__(self, sessions: DataFrame, schema: SessionSchema = DEFAULT,
-                 parts: Sequence[str] = features.PARTS, method: str = "ml", cleaned: bool = False,
+                 parts: Sequence[str] = features.PARTS, method: str = "restarts", cleaned: bool = False,
                  id_policy: str = "drop", quantile_mode: str = "exact",
                  restarts: int = clustering.RESTARTS, k_engagement: int = 3,
                  k_experience: int = 3, k_satisfaction: int = 2,
                  policy: RankPolicy = RankPolicy()) -> None:
-        if method not in ("ml", "lloyd"):
+        if method not in clustering.METHODS:
             raise ValueError(f"unknown clustering method {method!r}")
         self.schema, self.parts, self.method = schema, tuple(parts), method
         self.id_policy, self.quantile_mode = id_policy, quantile_mode
@@ -88,6 +88,9 @@ class UsagePlan:
         present = [m for m in metrics if m in df.columns]
         if self.method == "lloyd":
             return clustering.lloyd(df, self.schema.user, present, k, scaling)
+        if self.method == "restarts":
+            return clustering.restarted(df, self.schema.user, present, k, scaling, self.restarts,
+                                        order_by=order_by).segmentation
         return clustering.kmeans(df, present, k, scaling, self.restarts, order_by=order_by)
 
     @cached_property

@@ -11,7 +11,9 @@ folder of its own, which :func:`drop_scratch` deletes when the work is done.
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,11 @@ def allow_rdd_checkpoints(spark: SparkSession) -> None:
     """Let ``pyspark.ml`` cut the lineage of boosting rounds; keeps a folder already set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    workers, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = workers.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in paths:
+        workers["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
