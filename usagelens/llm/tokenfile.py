@@ -40,6 +40,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 MAGIC = b"PLANES01"
 BLOCK = 1 << 16
 CACHE = 400_000
+#: New units that the library sees as one text.
+RUN = 256
 #: Units: letters and digits with the space before them; an apostrophe with what belongs to
 #: it; other signs with the space before them; white space.
 UNITS = re.compile(r" ?[^\W_]+|'(?:[^\w\s]|_)*[^\W_]*| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
@@ -63,6 +65,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.whole = re.compile("|".join([ODD_SPACE.pattern, *(re.escape(t.content) for t in added)]))
+        self.line_feed, = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -82,14 +85,28 @@ class LibraryEncoder:
                 fresh.append(unit)
             else:
                 self.young[unit] = packed
-        found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
-        for unit, e in zip(fresh, found):
-            ids = e.ids
-            self.young[unit] = (pack[len(ids)](*ids) if len(ids) < 64
-                                else np.array(ids, "<u4").tobytes())
+        lines = [unit for unit in fresh if not unit.isspace()]
+        self.young.update(zip(lines, self._lines(lines)))
+        for unit in filter(str.isspace, fresh):
+            self.young[unit] = self._whole(unit)
         return self.young
 
+    def _lines(self, units: list[str]) -> list[bytes]:
+        """Units without inner white space, encoded as the lines of a few long texts.
+
+        A line feed is a match of its own between them, so its id parts their ids.
+        """
+        runs = ["\n".join(units[i:i + RUN]) + "\n" for i in range(0, len(units), RUN)]
+        out: list[bytes] = []
+        for run in runs:  # one after the other: the library's own threads cost more than they save
+            ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_feed).tolist()
+            packed, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(packed[4 * at:4 * end])
+                at = end + 1
+        return out
+
     def many(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.whole.search(t) else UNITS(t) for t in texts]
         packed = self._known(set().union(*filter(None, cut))).__getitem__
