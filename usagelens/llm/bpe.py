@@ -17,6 +17,8 @@ Null and empty texts have no ids.  Special tokens are ordinary text.
 from __future__ import annotations
 
 import base64
+import re
+import struct
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import islice
@@ -30,8 +32,10 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import BinaryType
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Entries of a worker's caches; beyond it a cache starts anew.
-CACHE = 400_000
+#: Entries of one generation of a worker's caches, and the longest key kept.
+CACHE, KEPT = 200_000, 64
+#: Words of letters up to Latin Extended-A, a subset of what patterns take as letters.
+WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").fullmatch
 
 
 class Vocabulary:
@@ -42,7 +46,7 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int]] = {}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
@@ -73,14 +77,36 @@ class Vocabulary:
         Undo the merges of both sides from the latest to the first.  A merge across the
         border that ranks before the merge just undone would have come first.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._compatible.get(key)
         if known is None:
-            if len(self._compatible) >= CACHE:
+            if len(self._compatible) >= 8 * CACHE:
                 self._compatible.clear()
             known = self._compatible[key] = self._apart(left, right)
         return known
 
+    def last_tokens(self, data: bytes) -> list[int]:
+        """The last token of every prefix; the longest token that fits is met first."""
+        last, known = [-1] * len(data), self._compatible.get
+        for end, (token, size) in self.automaton.iter(data.decode("latin-1")):
+            if last[end] < 0:
+                if size > end:
+                    last[end] = token
+                    continue
+                left = last[end - size]
+                apart = known(left << 32 | token)
+                if apart or apart is None and self.compatible(left, token):
+                    last[end] = token
+        return last
+
+    def walked_back(self, last: list[int]) -> list[int]:
+        """The encoding, read from the stored tokens of the prefixes."""
+        out, at, names = [], len(last) - 1, self.tokens
+        while at >= 0:
+            out.append(last[at])
+            at -= len(names[out[-1]])
+        return out[::-1]
+
     def _apart(self, left: int, right: int) -> bool:
         tokens, bound = self.tokens, 1 << 40
         while True:
@@ -100,8 +126,7 @@ class Prefixes:
     """A byte string with the last token of each of its prefixes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b"") -> None:
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
-        self.append(data)
+        self.vocabulary, self.data, self.last = vocabulary, data, vocabulary.last_tokens(data)
 
     def append(self, more: bytes) -> None:
         """Add bytes at the end; no stored entry changes."""
@@ -144,34 +169,30 @@ class Prefixes:
                 yield end, token
 
     def tokens(self) -> list[int]:
-        out, at, names = [], len(self.last) - 1, self.vocabulary.tokens
-        while at >= 0:
-            out.append(self.last[at])
-            at -= len(names[out[-1]])
-        return out[::-1]
+        return self.vocabulary.walked_back(self.last)
 
 
 class Uncut(Exception):
     """A space of the text is no place to cut."""
 
 
-class Segments(dict):
-    """Packed ids by segment: a space, then characters that neither begin nor end with
-    white space."""
+class Recent(dict):
+    """A cache of two generations: what is met again moves to the young one and stays."""
 
-    def __init__(self, packed: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.packed = packed
+        self.make, self.old = make, {}
 
-    def __missing__(self, segment: str) -> bytes:
-        if not segment or segment[0].isspace() or segment[-1].isspace():
-            raise Uncut(segment)
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.packed(" " + segment)
-        if len(segment) <= 64:
-            self[segment] = ids
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEPT:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Encoder:
@@ -180,29 +201,32 @@ class Encoder:
     def __init__(self, path: str, pattern: str) -> None:
         self.vocabulary = Vocabulary.load(path)
         self.matches = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.segments = Segments(self.packed)
+        self.plain = pattern == public_tokenizers.PATTERN
+        self.pieces, self.segments = Recent(self._piece), Recent(self._segment)
 
     @staticmethod
     @lru_cache(2)
     def load(path: str, pattern: str) -> Encoder:
         return Encoder(path, pattern)
 
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            data = piece.encode()
-            rank = self.vocabulary.ranks.get(data)
-            tokens = [rank] if rank is not None else Prefixes(self.vocabulary, data).tokens()
-            ids = np.array(tokens, "<u4").tobytes()
-            if len(data) <= 64:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        data, vocabulary = piece.encode(), self.vocabulary
+        rank = vocabulary.ranks.get(data)
+        tokens = [rank] if rank is not None else vocabulary.walked_back(vocabulary.last_tokens(data))
+        return struct.pack(f"<{len(tokens)}I", *tokens)
+
+    def _segment(self, segment: str) -> bytes:
+        """Ids of a space and characters that neither begin nor end with white space."""
+        if not segment or segment[0].isspace() or segment[-1].isspace():
+            raise Uncut(segment)
+        if self.plain and WORD(segment):  # a space and letters are one match
+            return self._piece(" " + segment)
+        found = self.matches(" " + segment)
+        return self._piece(found[0]) if len(found) == 1 else b"".join(
+            map(self.pieces.__getitem__, found))
 
     def packed(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.matches(text)))
+        return b"".join(map(self.pieces.__getitem__, self.matches(text)))
 
     def encode(self, text: str) -> bytes:
         segments = text.split(" ")
