@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -67,6 +68,19 @@ def test_an_address_part_of_many_zeros():
     assert [s[0] for s in pii.spans_of(text) if s[0] == "ip"] == ["ip", "ip"]
 
 
+@given(st.text("0129. ", max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_addresses_tried_by_runs_are_those_of_the_pattern(text):
+    assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in pii.IP_RUNS.finditer(text)]
+
+
+def test_a_million_digits_take_seconds():
+    for text in ("7" * 1_000_000, "1." * 500_000, "12.34." * 170_000 + "x", "1" * 500_000 + "." + "2" * 500_000):
+        start = time.process_time()
+        list(pii.ips(text))
+        assert time.process_time() - start < 5
+
+
 def test_columns_over_awkward_documents(documents, document_rows):
     spans = pii.find(whole_text())
     rows = documents.select("doc_id", whole_text().alias("t"), spans.alias("s")).select(
@@ -124,6 +138,30 @@ def test_tiling_equals_comparing_everything(text, item):
     assert (found or [0])[0] == plain_tiling(text, item, 3)
 
 
+@given(st.lists(st.sampled_from("ab"), max_size=24), st.lists(st.sampled_from("ab"), min_size=1,
+                                                              max_size=16))
+@settings(max_examples=300, deadline=None)
+def test_tiling_of_repeated_words_equals_comparing_everything(text, item):
+    text, item = " ".join(text), " ".join(item)
+    found = [f[2] for f in decontaminate.Benchmark([(1, item)], 4).found(text)]
+    assert (found or [0])[0] == plain_tiling(text, item, 4)
+
+
+def test_a_word_repeated_many_times_takes_seconds():
+    index = decontaminate.Benchmark([(1, "again " * 200 + "and the end"), (2, "other words " * 60)])
+    start = time.process_time()
+    (match,) = index.found("again " * 200_000)
+    assert match[:3] == (1, 1, 200) and time.process_time() - start < 20
+
+
+def test_equal_benchmark_rows_are_reported_each(spark):
+    bench = spark.createDataFrame([(1, ITEMS[0][1])] * 300 + [(2, ITEMS[1][1])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ITEMS[0][1]), (2, "nothing of it")], "doc_id long, text string")
+    found = decontaminate.contaminations(docs, bench).collect()
+    assert len(found) == 300 and {(r.doc_id, r.item_id) for r in found} == {(1, 1)}
+    assert [len(b.items) for b in decontaminate.blocks_of(bench)] == [2]
+
+
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog near a river bank today"),
          (2, "Pack my box with five dozen liquor jugs and then carry them home"),
          (3, None), (4, ""), (5, "short one"), (None, "an item that has no number of its own")]

@@ -26,6 +26,8 @@ SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 # fixed values: patterns of the base kinds
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches, tried only from the first digit of a run and without giving digits back.
+IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # kinds of this method
@@ -81,7 +83,7 @@ def emails(text: str) -> Spans:
 
 
 def ips(text: str) -> Spans:
-    for m in IP.finditer(text):
+    for m in IP_RUNS.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             yield m.span()
 
