@@ -57,6 +57,33 @@ def test_ties_copies_and_unusable_rows(spark):
     assert sorted((r.rank, r.vec_id, r.score) for r in found) == [(i, i, 0.0) for i in range(1, 11)]
 
 
+def test_every_vector_of_an_id_is_a_row(spark, monkeypatch):
+    """Ids on several rows: each vector is a candidate, and a query if its id is asked for."""
+    monkeypatch.setattr(neighbours, "CELL", 20)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(5)
+    vectors = [(i % 90, rng.normal(size=3).astype("f4").tolist()) for i in range(240)]
+    vectors += vectors[:15]
+    found = neighbours.search(spark.createDataFrame([(i, v, "", "") for i, v in vectors], SCHEMA),
+                              every=30, k=6, confidence=0.999999).collect()
+    rows = sorted({(i, tuple(v)) for i, v in vectors})
+    expected = []
+    for q, own in rows:
+        if q % 30 == 0:
+            near = sorted((float(np.sqrt(((np.array(v) - np.array(own)) ** 2).sum())), i)
+                          for i, v in rows if (i, v) != (q, own))[:6]
+            expected += [(q, r, i, d) for r, (d, i) in enumerate(near, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == sorted(expected)
+
+
+def test_cells_are_copied_by_their_visits(spark):
+    """The index moves as often as blocks of queries visit a cell, not once per block of all."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist(), "", "") for i in range(500)], SCHEMA)
+    plan = neighbours.search(rows, every=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parts" in plan and "Cross" not in plan
+
+
 def test_few_candidates_and_none(spark):
     rows = [(0, [1.0, 0.0], "", ""), (1, [0.0, 1.0], "", ""), (2, [1.0, 1.0], "", "")]
     found = neighbours.search(spark.createDataFrame(rows, SCHEMA)).collect()

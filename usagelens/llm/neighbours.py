@@ -14,7 +14,8 @@ test stops.  Queries meet cells in blocks of bounded size.
 
 Equal vectors are one candidate with its smallest ids, as many as a result can need.  Rows
 with a null id, and vectors that are null, zero, of another length than most, or hold null
-or non-finite components take no part.  Of several vectors with one id the smallest counts.
+or non-finite components take no part.  Rows equal in id and vector are one row; several
+vectors of one id are several rows, each a candidate and, where asked for, a query of its own.
 Equal distances are ordered by id.  Fewer candidates than ``k``: all of them.
 """
 
@@ -108,7 +109,7 @@ def _tree(points: np.ndarray, depth: int, number: Iterator[int]):
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, vector``: one finite, non-zero vector of the usual length per id."""
+    """``vec_id, vector``: the finite, non-zero vectors of the usual length."""
     sound = embeddings.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("embedding").cast("array<double>").alias("vector")).where(
@@ -118,7 +119,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
     usual = sound.groupBy(F.size("vector").alias("n")).count().orderBy(
         F.desc("count"), F.desc("n")).first()
     sound = sound.where(F.size("vector") == (usual["n"] if usual else 0))
-    return sound.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return sound.distinct()
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
@@ -177,7 +178,7 @@ def best_in_block(points: np.ndarray, vectors: np.ndarray, ids: list[list[int]],
             break
         exact = np.sqrt(((vectors[part] - vector) ** 2).sum(axis=1))
         new = [(float(d), v) for d, row in zip(exact, part) if d <= kth
-               for v in ids[row] if v != query_id]
+               for v in ids[row] if v != query_id or d or (vectors[row] != vector).any()]
         best = sorted(best + new)[:k]
     return best
 
@@ -197,32 +198,36 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, dimensions: int
     index = stored(_placed(classes, cells, "ids").withColumn(
         "block", F.pmod(F.xxhash64("vector"), F.lit(blocks))), "index")
     asked = vectors.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
-    queries = stored(_placed(asked, cells, "query_id"), "queries")
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    shape = "query_id long, vec_id long, score double"
+    queries = stored(_placed(asked, cells, "query_id").withColumn(
+        "query", F.monotonically_increasing_id()), "queries")
+    shape = "query long, query_id long, vec_id long, score double"
 
     def met(key: tuple, block: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, float]] = []
         if block.num_rows and asked.num_rows:
             points, own = _matrix(block["point"], block.num_rows), block["ids"].to_pylist()
             whole = _matrix(block["vector"], block.num_rows)
-            for q, p, v, b in zip(*(asked[c].to_pylist()
-                                    for c in ("query_id", "point", "vector", "bound"))):
-                out += [(q, i, d) for d, i in best_in_block(
+            for r, q, p, v, b in zip(*(asked[c].to_pylist()
+                                       for c in ("query", "query_id", "point", "vector", "bound"))):
+                out += [(r, q, i, d) for d, i in best_in_block(
                     points, whole, own, q, np.array(p), np.array(v), k, b, limit)]
-        q, i, d = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()),
-                         "score": pa.array(d, pa.float64())})
+        r, q, i, d = zip(*out) if out else ((), (), (), ())
+        return pa.table({"query": pa.array(r, pa.int64()), "query_id": pa.array(q, pa.int64()),
+                         "vec_id": pa.array(i, pa.int64()), "score": pa.array(d, pa.float64())})
+
+    visiting = ["query", "query_id", "point", "vector", "bound"]
 
     def searched(visits: DataFrame) -> DataFrame:
-        """Visits are ``query_id, point, vector, bound, cell``."""
-        def numbers(n: int) -> Column:
-            return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-        all_blocks = numbers(blocks).alias("block")
-        deal = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
-        left = index.select("*", numbers(parts).alias("part"))
-        right = visits.select("query_id", "point", "vector", "bound", "cell", all_blocks, deal)
+        """Visits are the columns ``visiting`` and ``cell``; a cell is copied once per
+        ``QUERY_BLOCK`` visits to it, and not at all if nobody visits it."""
+        def numbers(n: Column) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+        copies = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
+        left = index.join(copies, "cell").select(*index.columns, numbers(F.col("parts")).alias("part"))
+        right = visits.join(copies, "cell").select(
+            *visiting, "cell", numbers(F.lit(blocks).cast("long")).alias("block"),
+            F.pmod(F.xxhash64("query"), F.col("parts")).alias("part"))
         key = ["cell", "block", "part"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(met, shape)
 
@@ -235,18 +240,17 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, dimensions: int
                 rows += [i] * len(visited)
                 to += visited
             taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*(taken[c] for c in ("query_id", "point", "vector", "bound")),
-                 pa.array(to, pa.int64())], names=["query_id", "point", "vector", "bound", "cell"])
+            yield pa.RecordBatch.from_arrays([*(taken[c] for c in visiting), pa.array(to, pa.int64())],
+                                             names=[*visiting, "cell"])
 
     at_home = stored(searched(queries.withColumn("bound", F.lit(float("inf")))), "at_home")
-    near = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = Window.partitionBy("query").orderBy("score", "vec_id")
     kth = (at_home.withColumn("rank", F.row_number().over(near)).where(F.col("rank") == k)
-           .select("query_id", F.col("score").alias("bound")))
-    bounded = queries.join(kth, "query_id", "left").withColumn(
-        "bound", F.coalesce("bound", F.lit(float("inf"))))
-    visits = bounded.select("query_id", "point", "vector", "bound", "cell").mapInArrow(
-        other_cells, "query_id long, point array<double>, vector array<double>, bound double, "
-                     "cell long")
+           .select("query", F.col("score").alias("bound")))
+    bounded = stored(queries.join(kth, "query", "left").withColumn(
+        "bound", F.coalesce("bound", F.lit(float("inf")))), "bounded")
+    visits = bounded.select(*visiting, "cell").mapInArrow(
+        other_cells, "query long, query_id long, point array<double>, vector array<double>, "
+                     "bound double, cell long")
     return (at_home.union(searched(visits)).withColumn("rank", F.row_number().over(near))
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
