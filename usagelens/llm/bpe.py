@@ -34,8 +34,8 @@ from pyspark.sql.types import BinaryType
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Entries of one generation of a worker's caches, and the longest key kept.
 CACHE, KEPT = 200_000, 64
-#: Words of letters up to Latin Extended-A, a subset of what patterns take as letters.
-WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").fullmatch
+#: Words of letters up to Latin Extended-A and the signs after them, if any.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-/:-@\\[-`{-~]*)").fullmatch
 
 
 class Vocabulary:
@@ -219,8 +219,9 @@ class Encoder:
         """Ids of a space and characters that neither begin nor end with white space."""
         if not segment or segment[0].isspace() or segment[-1].isspace():
             raise Uncut(segment)
-        if self.plain and WORD(segment):  # a space and letters are one match
-            return self._piece(" " + segment)
+        if self.plain and (plain := WORD(segment)):  # a space and letters are one match, so are signs
+            word, signs = plain.groups()
+            return self.segments[word] + self.pieces[signs] if signs else self._piece(" " + word)
         found = self.matches(" " + segment)
         return self._piece(found[0]) if len(found) == 1 else b"".join(
             map(self.pieces.__getitem__, found))
