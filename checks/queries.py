@@ -18,7 +18,9 @@ from checks import sql as S
 from checks.session import cleaned_sessions, ensure_scratch
 from usagelens.functions.long import to_long
 from usagelens.operators import (cleaning, clustering, components, features, models, ranking,
-                                 reports, scoring, segments, statistics)
+                                 reports, scoring, segments, sketches, statistics)
+from usagelens.operators.increments import IncrementalFeatures
+from usagelens.plans import job
 from usagelens.plans.usage import UsagePlan
 from usagelens.schema import DEFAULT, ENGAGEMENT_METRICS, EXPERIENCE_METRICS
 from usagelens.sources import files, tables
@@ -202,12 +204,75 @@ def _clean_sessions(spark, d):
 
 @query("cleaned_roundtrip", CLEAN_SPEC, S.CLEANED, "SELECT * FROM s")
 def _cleaned_roundtrip(spark, d):
-    path = scratch_path(spark, "cleaned")
-    files.load_or_create_cleaned(spark, path, lambda: session_view(spark, d))
+    """A table stored for another input is noticed and rebuilt, the rebuilt one is used."""
+    source, path = scratch_path(spark, "sessions"), scratch_path(spark, "cleaned")
+
+    def stored(make):
+        return files.load_or_create_cleaned(spark, path, make, inputs=[source])
+
+    def read():
+        return spark.read.parquet(source)
+
+    session_view(spark, d).where("user_id IS NULL").write.parquet(source)
+    stored(read)
+    session_view(spark, d).write.mode("overwrite").parquet(source)
+    stored(read)
 
     def never():
         raise AssertionError("the stored table must be used")
-    return files.load_or_create_cleaned(spark, path, never)
+    return stored(never)
+
+
+def _written_sessions(spark, d, file_format: str) -> str:
+    """The session view in a file as sessions come: raw header between blanks, and in a CSV file
+    some cells that are no numbers."""
+    path, view = scratch_path(spark, f"raw_{file_format}"), session_view(spark, d)
+    if file_format == "csv":
+        text = [F.when(F.col("bearer_id") % n == 0, F.lit(bad)).otherwise(F.col(c).cast("string"))
+                .alias(c) if (n, bad) != (0, "") else F.col(c) for c in view.columns
+                for n, bad in [{"dur_ms": (7, "n/a"), "rtt_ul_ms": (11, "fast")}.get(c, (0, ""))]]
+        files.raw_header(view.select(*text), pad="  ").write.options(
+            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    else:
+        files.raw_header(view, pad=" ").write.parquet(path)
+    return path
+
+
+_REFUSED = "CASE WHEN bearer_id % {0} = 0 THEN NULL ELSE {1} END"
+
+
+@query("load_sessions_csv", f"{ID} {QUALITY_SPEC} {doubles(GRAINED, 4)} rejected:text", [S.SESSIONS],
+       f"SELECT * REPLACE ({_REFUSED.format(7, 'dur_ms')} AS dur_ms, "
+       f"{_REFUSED.format(11, 'rtt_ul_ms')} AS rtt_ul_ms), concat_ws(',', CASE WHEN bearer_id % 7 = 0 "
+       "THEN 'dur_ms' END, CASE WHEN bearer_id % 11 = 0 THEN 'rtt_ul_ms' END) AS rejected FROM s")
+def _load_sessions_csv(spark, d):
+    found = files.read_sessions(spark, _written_sessions(spark, d, "csv"), "csv", rejected="refused")
+    return found.withColumns({"start_ts": F.col("start_ts").cast("timestamp_ntz"),
+                              "rejected": F.array_join("refused", ",")})
+
+
+query("load_sessions_parquet", f"{ID} {QUALITY_SPEC} {doubles(GRAINED, 4)}", [S.SESSIONS],
+      "SELECT * FROM s")(
+    lambda spark, d: files.read_sessions(spark, _written_sessions(spark, d, "parquet")))
+
+
+@query("rejected_cells", "variable rows:long", [S.SESSIONS],
+       "SELECT 'dur_ms' AS variable, count(*) AS rows FROM s WHERE bearer_id % 7 = 0 UNION ALL "
+       "SELECT 'rtt_ul_ms', count(*) FROM s WHERE bearer_id % 11 = 0")
+def _rejected_cells(spark, d):
+    path = _written_sessions(spark, d, "csv")
+    return files.rejection_counts(files.read_sessions(spark, path, "csv", rejected="bad"), "bad")
+
+
+@query("field_descriptions", "variable kind description dtype filled:long", [S.SESSIONS],
+       S.FIELD_DICTIONARY)
+def _field_descriptions(spark, d):
+    """The dictionary written as a file with blanks around its header, and read again."""
+    path = scratch_path(spark, "fields")
+    table = statistics.field_dictionary(session_view(spark, d))
+    table.toDF(*[f" {c}  " for c in table.columns]).write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return files.read_field_descriptions(spark, path)
 
 
 ENG_SPEC = ("user_id:long sessions_frequency:long total_duration_ms:2 total_dl_bytes:2 "
@@ -259,6 +324,30 @@ def _cleaned_user_experience(spark, d):
     return plan(spark, d, "experience").experience
 
 
+_MERGED_SPEC = ("user_id:long sessions_frequency:long total_duration_ms:2 total_dl_bytes:2 "
+                "total_ul_bytes:2 total_traffic_bytes:2 total_data_bytes:2 "
+                + doubles([f"{c}_sum" for c in S.APP_COLUMNS] + [f"{a}_total_bytes" for a in S.APPS], 2)
+                + " " + EXP_SPEC.removeprefix("user_id:long ").removesuffix(" handset_type")
+                + " modal_handset last_handset_manufacturer last_handset_type")
+
+
+@query("incremental_features", _MERGED_SPEC,
+       [*S.CLEANED, S.engagement(), S.traffic(), S.overview(), *S.experience(), *S.last_handset()],
+       "SELECT eng.*, ov.* EXCLUDE (user_id, total_duration_ms, total_dl_bytes, total_ul_bytes), "
+       "app.* EXCLUDE (user_id), exp.* EXCLUDE (user_id, handset_type), exp.handset_type AS modal_handset, "
+       "m.handset_manufacturer AS last_handset_manufacturer, t.handset_type AS last_handset_type FROM eng "
+       "JOIN ov ON ov.user_id = eng.user_id JOIN app ON app.user_id = eng.user_id "
+       "JOIN exp ON exp.user_id = eng.user_id "
+       "LEFT JOIN last_handset_manufacturer m ON m.user_id = eng.user_id "
+       "LEFT JOIN last_handset_type t ON t.user_id = eng.user_id")
+def _incremental_features(spark, d):
+    """All sessions in three batches by year, the second one added twice: as if read at once."""
+    sessions, kept = cleaned_sessions(spark, d), IncrementalFeatures(spark, scratch_path(spark, "state"))
+    for batch in (1, 0, 0, 2):
+        kept.add(f"years {batch}", sessions.where(F.coalesce(F.year("start_ts"), F.lit(0)) % 3 == batch))
+    return kept.features(sessions)
+
+
 # -- overview ----------------------------------------------------------------
 
 def counted(column: str, n: int) -> str:
@@ -405,6 +494,32 @@ cleaned_query("kpi_banner", reports.kpi_banner,
                "count(DISTINCT handset_type) AS handset_types, sum(total_dl) / 1e12 AS total_dl_tb, "
                "sum(total_ul) / 1e12 AS total_ul_tb FROM s")
 
+
+
+@query("kpi_banner_sketches", "total_records:long total_dl_tb:6 total_ul_tb:6 users_within:text "
+       "handsets_within:text close_to_rebuilt:text", S.CLEANED,
+       "SELECT count(*) AS total_records, sum(total_dl) / 1e12 AS total_dl_tb, sum(total_ul) / 1e12 AS "
+       "total_ul_tb, 'true' AS users_within, 'true' AS handsets_within, 'true' AS close_to_rebuilt FROM s")
+def _kpi_banner_sketches(spark, d):
+    """Figures united from stored days: estimates within four standard errors of the exact counts,
+    and as close to those of a sketch built from all sessions at once."""
+    sessions, path = cleaned_sessions(spark, d), scratch_path(spark, "days")
+    files.save_feature(sketches.daily_figures(sessions), path)
+    days = sketches.banner(files.load_feature(spark, path))
+    exact = reports.kpi_banner(sessions).select(F.col("unique_users").alias("u"),
+                                                F.col("handset_types").alias("h"))
+    whole = sessions.agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col("user_id").cast("long"),
+                                                                sketches.LG)).alias("rebuilt"))
+
+    def within(estimate: str, truth: str):
+        return F.abs(F.col(estimate) - F.col(truth)) <= 4 * sketches.ERROR * F.col(truth) + 0.5
+
+    return days.join(exact).join(whole).withColumns({  # three rows of one
+        "users_within": within("unique_users", "u"), "handsets_within": within("handset_types", "h"),
+        "close_to_rebuilt": F.abs(F.col("unique_users") - F.col("rebuilt"))
+        <= 4 * sketches.ERROR * F.col("rebuilt")})
+
+
 # -- engagement --------------------------------------------------------------
 
 
@@ -810,6 +925,38 @@ for _name, _columns, _text in (
                             "experience_score, satisfaction_score, satisfaction_cluster FROM satc)"],
           _text)(partial(lambda text, spark, d: report(spark, d, text), _text))
 
+# -- the whole job -----------------------------------------------------------
+
+@query("analysis_job", f"user_id:long {SCORE_SPEC} satisfaction_cluster:int", SATC,
+       "SELECT * FROM satc")
+def _analysis_job(spark, d):
+    """Raw sessions to stored tables, models, runs and export; the job's satisfaction table."""
+    paths = job.run_analysis(session_view(spark, d), scratch_path(spark, "job"), method="lloyd",
+                             candidates=("ridge",), export_name=f"user_scores_{uuid.uuid4().hex}")
+    return files.load_feature(spark, paths["satisfaction"])
+
+
+@query("export_job", f"customer_id:long {SCORE_SPEC}", SAT,
+       "SELECT user_id AS customer_id, * FROM sat ORDER BY user_id LIMIT 5")
+def _export_job(spark, d):
+    """What the export job reads back from the table it has written."""
+    rows = job.export_scores(plan(spark, d).satisfaction, f"user_scores_{uuid.uuid4().hex}",
+                             path=scratch_path(spark, "user_scores"))
+    return spark.createDataFrame(rows, "customer_id long, engagement_score double, "
+                                       "experience_score double, satisfaction_score double")
+
+
+#: Sessions without a user become those of one user with the mean id.
+_MEAN_IDS = [c.replace("SELECT *,", "SELECT * REPLACE (coalesce(user_id, (SELECT trunc(avg(user_id)) FROM "
+                       "raw)) AS user_id),", 1) if c.startswith("s AS") else c for c in SAT]
+
+
+@query("satisfaction_mean_ids", f"user_id:long {SCORE_SPEC}", _MEAN_IDS, "SELECT * FROM sat")
+def _satisfaction_mean_ids(spark, d):
+    return UsagePlan(session_view(spark, d), parts=("engagement", "experience"), method="lloyd",
+                     id_policy="mean").satisfaction
+
+
 # -- models ------------------------------------------------------------------
 
 satisfaction_query("train_test_split", "user_id:long is_test:int",

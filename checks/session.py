@@ -10,7 +10,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 from usagelens.sources.files import load_or_create_cleaned
-from usagelens.sources.warehouse import session_view
+from usagelens.sources.warehouse import VIEW_TABLES, session_view, table_path
 from usagelens.workspace import CHECKPOINT_DIR, shared_root
 
 
@@ -31,4 +31,5 @@ def cleaned_sessions(spark: SparkSession, directory: str) -> DataFrame:
     ensure_scratch(spark)
     name = hashlib.md5(directory.encode()).hexdigest()
     return load_or_create_cleaned(spark, f"{shared_root(spark)}/cleaned-{name}",
-                                  lambda: session_view(spark, directory))
+                                  lambda: session_view(spark, directory),
+                                  inputs=[table_path(directory, t) for t in VIEW_TABLES])

@@ -142,10 +142,10 @@ def test_equal_gains_take_the_first_feature_and_smallest_edge():
 def test_hold_out_and_folds_come_from_one_training(table):
     named = table.withColumnsRenamed({"u": "engagement_score", "v": "experience_score",
                                       "y": "satisfaction_score"})
-    params = {**models.CANDIDATES["gradient_boosting"], "n_estimators": 5}
+    params = {**models.CANDIDATES["gradient_boosting"], "n_estimators": 2}
     together = models.boosted_hold_out(named, "key", models.SCORE_FEATURES, models.TARGET, params, True)
     alone = models.boosted_hold_out(named, "key", models.SCORE_FEATURES, models.TARGET, params, False)
-    folds = models.cross_validate(named, "key", "gradient_boosting", params={"n_estimators": 5}).collect()
+    folds = models.cross_validate(named, "key", "gradient_boosting", params={"n_estimators": 2}).collect()
     assert alone[1] is None and np.isclose(together[0].start, alone[0].start)
     for a, b in zip(together[0].trees, alone[0].trees):
         assert a.splits == b.splits and a.values.keys() == b.values.keys()

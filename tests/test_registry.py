@@ -13,7 +13,8 @@ SAMPLE = ["load_sessions", "outlier_iqr_replace", "safe_int_cast", "user_overvie
           "user_experience", "top_handsets_per_manufacturer", "histogram_by_group",
           "app_total_correlation", "decile_segmentation", "correlation_matrix",
           "correlation_with_gaps", "app_boxplot_stats", "top10_per_app", "engagement_clusters",
-          "experience_extremes", "train_ridge"]
+          "experience_extremes", "train_ridge", "pca_loadings", "experience_restarts", "gbt_nodes",
+          "gbt_cv_small", "load_sessions_csv", "field_descriptions", "incremental_features"]
 
 
 @pytest.fixture(scope="module")

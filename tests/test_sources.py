@@ -28,6 +28,29 @@ def test_csv_sessions_are_typed_by_role(spark, tmp_path):
     assert row.rtt_dl_ms is None and df.count() == 2
 
 
+def test_rejected_cells_are_named(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text(" MSISDN/Number ,Dur. (ms)  ,Handset Type,Start\n"
+                    "12,soon,phone,2024-01-01 00:00:00\nx,7.5,,never\n,NaN,,\n1,2\n5,6,a,,more\n")
+    df = files.read_sessions(spark, str(path), "csv", rejected="bad")
+    assert df.columns == ["user_id", "dur_ms", "handset_type", "start_ts", "bad"]
+    rows = {str(r.user_id): (r.dur_ms, r.bad) for r in df.collect()}
+    assert rows["12"] == (None, ["dur_ms"])
+    assert sorted(r.bad for r in df.where("user_id IS NULL").collect()) == [[], ["user_id", "start_ts"]]
+    assert rows["1"] == (2.0, [files.LINE]) and rows["5"] == (6.0, [files.LINE])
+    counts = {r.variable: r.rows for r in files.rejection_counts(df, "bad").collect()}
+    assert counts == {"dur_ms": 1, "user_id": 1, "start_ts": 1, files.LINE: 2}
+    with pytest.raises(ValueError):
+        files.read_sessions(spark, str(path), "parquet", rejected="bad")
+
+
+def test_raw_header_and_back(spark, sessions, tmp_path):
+    path = str(tmp_path / "raw")
+    files.raw_header(sessions, pad=" ").write.parquet(path)
+    assert " Dur. (ms) " in spark.read.parquet(path).columns
+    assert files.read_sessions(spark, path).columns == sessions.columns
+
+
 def test_field_descriptions(spark, tmp_path):
     path = tmp_path / "f.csv"
     path.write_text("Fields , Description\nDur,Length\n")
@@ -59,6 +82,43 @@ def test_cleaned_table_is_reused_until_forced(spark, sessions, tmp_path):
     assert len(calls) == 2 and "total_data" in got.columns and got.count() == sessions.count()
 
 
+def test_cleaned_table_follows_its_input(spark, sessions, tmp_path):
+    source, path = str(tmp_path / "source"), str(tmp_path / "cleaned")
+    calls = []
+
+    def stored(**settings):
+        def read():
+            calls.append(1)
+            return spark.read.parquet(source)
+        return files.load_or_create_cleaned(spark, path, read, inputs=[source], **settings)
+
+    sessions.limit(50).write.parquet(source)
+    old = stored()
+    assert old.count() == 50 and stored().count() == 50 and len(calls) == 1
+    sessions.write.mode("overwrite").parquet(source)
+    assert stored().count() == sessions.count() and len(calls) == 2
+    assert files.Manifest.read(spark, path).rows == sessions.count()
+    assert old.count() == 50  # the version before stays for its readers
+    stored(id_policy="mean")
+    assert len(calls) == 3 and stored(id_policy="mean").where("user_id IS NULL").count() == 0
+    kept = [p.name for p in Path(path).iterdir() if p.name.startswith("version-")]
+    assert len(kept) == 2
+    with pytest.raises(FileNotFoundError):
+        files.input_fingerprint(spark, [str(tmp_path / "nowhere")])
+
+
+def test_a_failed_build_leaves_the_table(spark, tmp_path):
+    table = files.StoredTable(spark, str(tmp_path / "t"))
+    assert table.current() is None
+    table.replace(spark.range(3), "a")
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        table.replace(broken, "b")
+    assert table.current("b") is None and table.current("a").count() == 3
+    assert table.load_or_create("b", lambda: spark.range(4)).count() == 4
+    assert table.current().count() == 4
+
+
 def test_table_sink_modes(spark, tmp_path):
     df = spark.range(3).withColumnRenamed("id", "customer_id")
     assert tables.export_table(df, "scores_test", path=str(tmp_path / "t")) is True

@@ -14,8 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from usagelens.schema import APPLICATIONS
 
 
+#: Tables behind the session view.
+VIEW_TABLES = ("lineitem", "orders", "part")
+
+
+def table_path(directory: str, name: str) -> str:
+    return f"{directory.rstrip('/')}/{name}.parquet"
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(table_path(directory, name))
 
 
 def _unless(broken: Column, value: Column) -> Column:
