@@ -487,6 +487,11 @@ cleaned_query("boxplot_stats",
                    "handset_manufacturer"),
                f"handset_manufacturer {BOX_SPEC}", S.boxes("s", "handset_manufacturer",
                                                            "tp_dl_kbps"))
+for _name, _group in (("boxplot_by_handset", "handset_type"), ("boxplot_by_user", "user_id:long")):
+    _plain = _group.split(":")[0]
+    cleaned_query(_name, partial(lambda g, s: statistics.keyed_box_statistics(
+        to_long(s, ["tp_dl_kbps"], keep=[g]), g), _plain), f"{_group} {BOX_SPEC}",
+        S.boxes("s", _plain, "tp_dl_kbps"))
 cleaned_query("kpi_banner", reports.kpi_banner,
                "total_records:long unique_users:long handset_types:long total_dl_tb:6 "
                "total_ul_tb:6",

@@ -9,10 +9,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
+from usagelens.functions.keyed import keyed_quantiles
 from usagelens.functions.long import to_long
 from usagelens.functions.moments import sample_excess_kurtosis, sample_skewness
 from usagelens.functions.orderstats import RankPolicy, quantiles
 from usagelens.schema import DEFAULT, SessionSchema
+from usagelens.workspace import materialise
 
 
 BROADCAST_ROWS = 100_000
@@ -272,6 +274,11 @@ def box_statistics(long: DataFrame, group: str, value: str = "value",
     dtype = long.schema[group].dataType.simpleString()
     boxes = small_table(known, [(g, *q) for g, q in quartiles.items()],
                         f"`{group}` {dtype}, q1 double, median double, q3 double")
+    return _boxed(known, boxes, group, value)
+
+
+def _boxed(known: DataFrame, boxes: DataFrame, group: str, value: str) -> DataFrame:
+    """Counts, ends and whiskers per group from its quartiles."""
     v = F.col(value)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
@@ -285,6 +292,14 @@ def box_statistics(long: DataFrame, group: str, value: str = "value",
                     "whisker_high", "max", "outliers"))
 
 
+def keyed_box_statistics(long: DataFrame, group: str, value: str = "value") -> DataFrame:
+    """:func:`box_statistics` for any number of groups: quartiles are found and joined as a table."""
+    known = long.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    boxes = keyed_quantiles(known, (0.25, 0.5, 0.75), group, value).select(
+        group, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    return _boxed(known, materialise(boxes, "boxes"), group, value)
+
+
 def app_box_statistics(df: DataFrame, schema: SessionSchema = DEFAULT,
                        policy: RankPolicy = RankPolicy()) -> DataFrame:
     """Box statistics of the downlink volume of every application."""
