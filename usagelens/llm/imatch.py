@@ -16,8 +16,8 @@ A text without a lexicon term keeps all its terms, one without any term is a ter
 (its whole text), so equal texts, and only they, are sure to agree.  Null texts are empty ones.
 
 ``next_pairs`` brings every document together with the next by ``doc_id`` (null first; equal ids by
-a hash of the text, then by the text): rows go once to ranges between cuts from a bounded sample, and
-every range also gets the first row of the next.  After the last row comes the first.  Repeated
+a hash of the text): rows go once, compressed, to ranges between cuts from a bounded sample, and every
+range also gets the first row of the next.  After the last row comes the first.  Repeated
 rows follow each other; a single row follows itself.  An empty table has an empty result.
 """
 
@@ -32,6 +32,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
@@ -127,6 +128,24 @@ class Ranges:
 
         return placed(doc_id, code)
 
+    def packed(self, rows: DataFrame) -> DataFrame:
+        """Rows of ``doc_id, code, range, text`` with their texts compressed, which halves what moves;
+        a null range is that of the row's place."""
+        cuts = self.cuts
+
+        def pack(batches: Batches) -> Batches:
+            compress = zstandard.ZstdCompressor(level=1).compress
+            for batch in batches:
+                at = [bisect_right(cuts, _place(i, c)) if r is None else r
+                      for i, c, r in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+                texts = [compress(t.encode()) for t in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(at, pa.int32()),
+                     pa.array(texts, pa.binary())], names=["doc_id", "code", "range", "packed"])
+
+        return rows.select("doc_id", "code", "range", "text").mapInArrow(
+            pack, "doc_id long, code long, range int, packed binary")
+
 
 def _place(doc_id: int | None, code: int) -> tuple[int, int, int]:
     """Null ids come first."""
@@ -157,26 +176,27 @@ def next_pairs(documents: DataFrame, pair: Callable[[Iterator[tuple]], Iterator[
     ranges = _ranges(documents)
     spark, n = documents.sparkSession, len(ranges.cuts) + 1
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")) \
-        .withColumn("code", F.expr(CODE)).withColumn("range", ranges.of(F.col("doc_id"), F.col("code")))
+        .withColumn("code", F.expr(CODE))
     key = F.struct(F.isnotnull("doc_id").alias("named"), "doc_id", "code")
-    heads = sorted(rows.groupBy("range").agg(F.min(key).alias("k")).collect(), key=lambda r: r.range)
+    heads = sorted(rows.select(ranges.of(F.col("doc_id"), F.col("code")).alias("range"), "doc_id", "code")
+                   .groupBy("range").agg(F.min(key).alias("k")).collect(), key=lambda r: r.range)
     before = [(heads[i - 1].range, h.k.doc_id, h.k.code) for i, h in enumerate(heads)]
-    followers = spark.createDataFrame(before, "range int, doc_id long, code long")
-    texts = rows.drop("range").join(
-        F.broadcast(followers.withColumnsRenamed({"doc_id": "id", "code": "c"})),  # one row a range
-        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("code") == F.col("c"))) \
+    followers = F.broadcast(spark.createDataFrame(before, "range int, id long, c long"))  # a row a range
+    texts = rows.join(followers, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("code") == F.col("c"))) \
         .groupBy("range", "doc_id", "code").agg(F.min("text").alias("text"))
-    dealt = (rows.withColumn("follows", F.lit(False))
-             .unionByName(texts.withColumn("follows", F.lit(True)))
+    own = ranges.packed(rows.withColumn("range", F.lit(None).cast("int")))
+    dealt = (own.withColumn("follows", F.lit(False))
+             .unionByName(ranges.packed(texts).withColumn("follows", F.lit(True)))
              .repartitionById(n, F.col("range"))
-             .sortWithinPartitions("follows", F.col("doc_id").asc_nulls_first(), "code", "text"))
+             .sortWithinPartitions("follows", F.col("doc_id").asc_nulls_first(), "code", "packed"))
 
     def paired(batches: Batches) -> Batches:
+        expand = zstandard.ZstdDecompressor().decompress
         yield from pair(chain.from_iterable(
-            zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
-            for b in batches))
+            zip(b.column(0).to_pylist(), (expand(t).decode() for t in b.column(1).to_pylist()),
+                b.column(2).to_pylist()) for b in batches))
 
-    return dealt.select("doc_id", "text", "follows").mapInArrow(paired, schema)
+    return dealt.select("doc_id", "packed", "follows").mapInArrow(paired, schema)
 
 
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
