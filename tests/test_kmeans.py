@@ -135,3 +135,35 @@ def test_the_plan_uses_restarts_by_default(sessions):
         costs = [clustering.inertia(getattr(usage, name), {3: f})[3] for f in fits]
         assert costs[0] <= costs[1] * (1 + 1e-12)
     assert usage.satisfaction_clustered.select("satisfaction_cluster").distinct().count() == 2
+
+
+def test_fits_go_on_until_they_stand_still(spark):
+    """Evenly spread rows need more rounds than any fixed number fit for smaller tables."""
+    x = np.linspace(0, 1, 20_000)
+    points = kmeans.Points(spark.createDataFrame(pd.DataFrame({"x": x})), [F.col("x")])
+    try:
+        starts = {0: np.linspace(0, 0.01, 20)[:, None]}
+        found = kmeans.settle(points, starts, clustering.STILL)[0]
+        with pytest.raises(RuntimeError, match="after 5 rounds"):
+            kmeans.settle(points, starts, clustering.STILL, 5)
+    finally:
+        points.release()
+    assert np.allclose(brute_lloyd(x[:, None], found)[0], found, atol=1e-9)
+
+
+class Turning:
+    """Sums that alternate between two neighbouring centroids, as rounding can."""
+
+    def sums(self, fits):
+        return {f: np.array([[2.0, 3.0 if c[0, 0] < 1.25 else 2.0]]) for f, c in fits.items()}
+
+
+def test_a_fit_that_returns_stands_still_and_values_must_be_finite():
+    assert kmeans.settle(Turning(), {0: np.array([[0.0]])}, 1e-12)[0][0, 0] in (1.0, 1.5)
+
+    class Broken(Turning):
+        def sums(self, fits):
+            return {f: np.array([[2.0, np.nan]]) for f in fits}
+
+    with pytest.raises(RuntimeError, match="not finite"):
+        kmeans.settle(Broken(), {0: np.array([[0.0]])}, 1e-12)
