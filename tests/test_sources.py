@@ -107,6 +107,26 @@ def test_cleaned_table_follows_its_input(spark, sessions, tmp_path):
         files.input_fingerprint(spark, [str(tmp_path / "nowhere")])
 
 
+def test_a_stored_model_cleans_like_stored_rows(spark, sessions, tmp_path):
+    source, path = str(tmp_path / "source"), str(tmp_path / "model")
+    some = sessions.withColumn("empty", F.lit(None).cast("double")).withColumn("blank", F.lit(None).cast("string"))
+
+    def stored(**settings):
+        return files.load_or_create_cleaned(spark, path, lambda: spark.read.parquet(source),
+                                            inputs=[source], keep="model", **settings)
+
+    def rows(df):
+        return sorted([tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df.collect()])
+
+    for part in (some.limit(50), some):
+        part.write.mode("overwrite").parquet(source)
+        for settings in ({}, {}, {"id_policy": "mean"}):
+            assert rows(stored(**settings)) == rows(files.clean(spark.read.parquet(source), **settings))
+    assert len(files.StoredTable(spark, path).fingerprints()) == 4
+    with pytest.raises(ValueError):
+        files.load_or_create_cleaned(spark, path, lambda: some, keep="nothing")
+
+
 def test_a_failed_build_leaves_the_table(spark, tmp_path):
     table = files.StoredTable(spark, str(tmp_path / "t"))
     assert table.current() is None
