@@ -1,5 +1,8 @@
 """Reading the session view several times joins once; stored tables are small."""
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,8 +11,11 @@ from pyspark.sql import functions as F
 from checks.queries import REGISTRY
 from checks.session import cleaned_sessions, joined_once
 from session_helpers import plan_text
+from usagelens.operators.cleaning import clean
+from usagelens.operators.features import user_features
+from usagelens.sources.files import Manifest
 from usagelens.sources.warehouse import joined_rows, session_view
-from usagelens.workspace import materialise
+from usagelens.workspace import materialise, shared_root
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +43,10 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
+def rounded(df):
+    return sorted([tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df.collect()])
+
+
 def test_several_passes_join_once(spark, warehouse):
     view = joined_once(spark, warehouse)
     assert "Join" in plan_text(joined_rows(spark, warehouse)) and "Join" not in plan_text(view)
@@ -50,3 +60,20 @@ def test_several_passes_join_once(spark, warehouse):
 def test_stored_tables_are_packed(spark):
     table = materialise(spark.range(10), "packed")
     assert all(".zstd." in f for f in table.inputFiles())
+
+
+def test_cleaned_sessions_are_no_second_copy(spark, warehouse):
+    """What is stored is one row per learned number, and the cleaned rows come out the same."""
+    got, view = cleaned_sessions(spark, warehouse), joined_once(spark, warehouse)
+    name = hashlib.md5(warehouse.encode()).hexdigest()
+    held = Manifest.read(spark, f"{shared_root(spark)}/cleaned-{name}")
+    assert held.rows < 3 * len(view.columns) < view.count()
+    assert got.schema.simpleString() == clean(view).schema.simpleString()
+    assert rounded(got) == rounded(clean(view)) and rows(got) == rows(cleaned_sessions(spark, warehouse))
+    assert cleaned_sessions(spark, warehouse).where("dur_ms IS NULL").isEmpty()
+
+
+def test_rows_per_handset_carry_no_sums(spark, warehouse):
+    plan = user_features(cleaned_sessions(spark, warehouse))._jdf.queryExecution().optimizedPlan().toString()
+    keyed = [line for line in plan.splitlines() if re.search(r"Aggregate \[user_id#\d+L?, handset_type#", line)]
+    assert keyed and not any("sum(" in line for line in keyed)
