@@ -87,3 +87,29 @@ def test_parts(cleaned):
     assert "avg_rtt_ms" not in few.columns and "total_traffic_bytes" in few.columns
     with pytest.raises(ValueError):
         features.user_features(cleaned, parts=["nope"])
+
+
+def test_sums_stay_out_of_rows_per_handset(spark):
+    """Sixty sessions on sixty handsets: sixty rows without sums, and one with them a user."""
+    df = spark.range(60).select((F.col("id") % 2).alias("user_id"), F.concat(F.lit("h"), "id").alias("h"),
+                                (F.col("id") * 1.0).alias("x")).withColumn(
+        "h", F.when(F.col("h") != "h7", F.col("h")))
+    measures = [features._Measure("n", "count", F.col("x")), features._Measure("x", "mean", F.col("x"))]
+    rows = features._per_handset(df, features.DEFAULT, measures, ["h"],
+                                 [F.count("*").alias(features.TIMES)])
+    assert rows.where("h IS NOT NULL").agg(F.count("*"), F.count("x"), F.sum("n")).first() == (59, 0, 0)
+    assert sorted(tuple(r) for r in rows.where("h IS NULL").select("user_id", "x", "n", "`x n`").collect()) \
+        == [(0, 870.0, 30, 30), (1, 900.0, 30, 30)]
+
+
+def test_handsets_of_odd_users(spark):
+    """A user without handsets, one without any number, ties, and no user at all."""
+    df = spark.createDataFrame(
+        [(1, None, 4.0, 1), (1, None, 6.0, 2), (2, "b", None, 1), (2, "a", None, 2), (3, "c", 1.0, 1),
+         (3, "c", 3.0, 5), (3, "a", 5.0, 9), (None, "z", 9.0, 1)],
+        "user_id long, handset_type string, rtt_dl_ms double, start_ts long").withColumn(
+        "handset_manufacturer", F.upper("handset_type"))
+    got = features.user_experience(df).select("user_id", "avg_rtt_dl_ms", "handset_type").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 5.0, "Unknown"), (2, None, "a"), (3, 3.0, "c")]
+    last = features.user_last_handset(df).collect()
+    assert sorted(tuple(r) for r in last) == [(1, None, None), (2, "A", "a"), (3, "A", "a")]
