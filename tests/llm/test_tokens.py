@@ -91,6 +91,27 @@ def test_added_tokens_are_found_as_by_the_plain_call():
     assert found[0] == [87, 220, 50256, 331]
 
 
+def test_units_need_no_whole_call(monkeypatch):
+    """Missing units go through the library's splitter and model, its whole call is spared."""
+    texts = ["It's  the\n\n end, we'll see...", "a1b2 \u00e9t\u00e9 12.5 x_y__z ''tis '9a", " \t\u3042\u6f22\u5b57 \u0416\u0438 \U0001f600!",
+             "caf\u00e9\u00d7\u00f7 \u00aa\u00b5\u00ba\u01c0\u024f\u0250 don't", "", " ", "x  "] * 2
+    expected = [library_ids(t) for t in texts]
+    monkeypatch.setattr(tokenfile, "CACHE", 4)
+    encoder = tokenfile.LibraryEncoder(tokenfile.TOKENIZER)
+    monkeypatch.setattr(encoder, "_whole", None)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.many(texts)] == expected
+
+
+def test_plain_letters_are_one_match():
+    units = tokenfile.LibraryEncoder(tokenfile.TOKENIZER).units
+    letters = "".join(c for c in map(chr, range(0x250)) if tokenfile.PLAIN(c) and c != " ")
+    assert letters.isalpha() and len(letters) > 400
+    (match, _), = units.split(f" {letters}")
+    assert match == f" {letters}".encode().decode("latin-1").translate(tokenfile.ALPHABET)
+    printed = "".join(map(chr, range(0x80)))
+    assert ("".join(m for m, _ in units.split(printed)) == printed.translate(tokenfile.ALPHABET))
+
+
 def test_no_documents_make_no_files(spark, no_documents):
     manifest = tokenfile.write(no_documents)
     assert manifest.count() == 0 and tokenfile.read(spark, manifest).count() == 0

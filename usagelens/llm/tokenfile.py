@@ -40,13 +40,48 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 MAGIC = b"PLANES01"
 BLOCK = 1 << 16
 CACHE = 400_000
-#: New units that the library sees as one text.
-RUN = 256
 #: Units: letters and digits with the space before them; an apostrophe with what belongs to
 #: it; other signs with the space before them; white space.
 UNITS = re.compile(r" ?[^\W_]+|'(?:[^\w\s]|_)*[^\W_]*| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+").findall
 #: White space here, but not for the tokenizer: such a text is encoded whole.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Latin letters, of which every version of Unicode thinks the same: such a unit is one match.
+PLAIN = re.compile(" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+#: Printable bytes stand for themselves in the vocabulary, the others for U+0100 and up.
+PRINTABLE = {*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)}
+OTHERS = {b: 0x100 + i for i, b in enumerate(sorted({*range(0x100)} - PRINTABLE))}
+ALPHABET = "".join(chr(OTHERS.get(b, b)) for b in range(0x100))
+
+
+class Units(dict[str, bytes]):
+    """Packed ids of units; one that is missing is encoded by the library when asked for.
+
+    The splitter and the model are those of the whole call, which also spares the offsets.  Two
+    generations of about ``CACHE`` units; a unit that is met again moves to the young
+    one, so frequent units stay.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        packed = self.old.get(unit)
+        if packed is None:
+            if PLAIN(unit):
+                matches = [unit.encode().decode("latin-1").translate(ALPHABET)]
+            else:
+                matches = [match for match, _ in self.split(unit)]
+            ids = [token.id for match in matches for token in self.model(match)]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        self[unit] = packed
+        return packed
+
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
 
 
 class LibraryEncoder:
@@ -55,63 +90,28 @@ class LibraryEncoder:
     Texts are cut into units at places where the tokenizer's splitting pattern always ends a
     match, and the library encodes each unit that is not in the cache.  A text that contains
     an added token (such as an end mark it quotes) goes to the library whole, which gives the
-    token's own id.  The cache has two
-    generations of at most ``CACHE`` units; a unit that is met again moves to the young one,
-    so frequent units stay.
+    token's own id.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.whole = re.compile("|".join([ODD_SPACE.pattern, *(re.escape(t.content) for t in added)]))
-        self.line_feed, = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.whole = [*ODD_SPACE, *(t.content for t in added)]
+        self.units = Units(self.tokenizer)
 
     @staticmethod
     @lru_cache(2)
     def load(path: str) -> LibraryEncoder:
         return LibraryEncoder(path)
 
-    def _known(self, wanted: set[str]) -> dict[str, bytes]:
-        """The cache with all wanted units in it."""
-        if len(self.young) + len(wanted) > CACHE:
-            self.old, self.young = self.young, {}
-        old, fresh = self.old, []
-        for unit in wanted.difference(self.young):
-            packed = old.get(unit)
-            if packed is None:
-                fresh.append(unit)
-            else:
-                self.young[unit] = packed
-        lines = [unit for unit in fresh if not unit.isspace()]
-        self.young.update(zip(lines, self._lines(lines)))
-        for unit in filter(str.isspace, fresh):
-            self.young[unit] = self._whole(unit)
-        return self.young
-
-    def _lines(self, units: list[str]) -> list[bytes]:
-        """Units without inner white space, encoded as the lines of a few long texts.
-
-        A line feed is a match of its own between them, so its id parts their ids.
-        """
-        runs = ["\n".join(units[i:i + RUN]) + "\n" for i in range(0, len(units), RUN)]
-        out: list[bytes] = []
-        for run in runs:  # one after the other: the library's own threads cost more than they save
-            ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.line_feed).tolist()
-            packed, at = ids.tobytes(), 0
-            for end in ends:
-                out.append(packed[4 * at:4 * end])
-                at = end + 1
-        return out
-
     def many(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.whole.search(t) else UNITS(t) for t in texts]
-        packed = self._known(set().union(*filter(None, cut))).__getitem__
-        return [self._whole(t) if units is None else b"".join(map(packed, units))
-                for t, units in zip(texts, cut)]
+        return [self._whole(t) if any(mark in t for mark in self.whole) else self._parts(t)
+                for t in texts]
+
+    def _parts(self, text: str) -> bytes:
+        self.units.age()
+        return b"".join(map(self.units.__getitem__, UNITS(text)))
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
