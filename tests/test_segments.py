@@ -79,6 +79,19 @@ def test_elbow(users, method):
     assert inertias[0] == pytest.approx(((x - x.mean(0)) ** 2).sum())
 
 
+def test_fits_of_ml_keep_their_own_vectors(users, monkeypatch):
+    """Over a table that is held as vectors every iteration would decode all rows again."""
+    fit, seen = clustering.KMeans.fit, []
+
+    def watched(self, vectors, *args):
+        seen.append(vectors.storageLevel)
+        return fit(self, vectors, *args)
+
+    monkeypatch.setattr(clustering.KMeans, "fit", watched)
+    clustering.elbow(users, "user_id", ENGAGEMENT_METRICS, 3, method="ml", restarts=2)
+    assert len(seen) == 4 and not any(level.useMemory or level.useDisk for level in seen)
+
+
 def test_elbow_of_one_cluster_only(users):
     row = clustering.elbow(users, "user_id", ENGAGEMENT_METRICS, 1).first()
     assert row.k == 1 and row.optimal_k is None
