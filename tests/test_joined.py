@@ -7,10 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from checks.queries import REGISTRY
+from checks.queries import REGISTRY, _written_sessions
 from checks.session import cleaned_sessions, joined_once
 from session_helpers import plan_text
 from usagelens.operators.cleaning import clean
+from usagelens.sources import files
 from usagelens.sources.files import Manifest
 from usagelens.sources.warehouse import joined_rows, session_view
 from usagelens.workspace import materialise, shared_root
@@ -69,3 +70,12 @@ def test_cleaned_sessions_are_no_second_copy(spark, warehouse):
     assert got.schema.simpleString() == clean(view).schema.simpleString()
     assert rounded(got) == rounded(clean(view)) and rows(got) == rows(cleaned_sessions(spark, warehouse))
     assert cleaned_sessions(spark, warehouse).where("dur_ms IS NULL").isEmpty()
+
+
+def test_written_csv_sessions_are_packed_in_bounded_files(spark, warehouse, monkeypatch):
+    monkeypatch.setattr(files, "CSV_ROWS", 50)
+    path, n = _written_sessions(spark, warehouse, "csv"), session_view(spark, warehouse).count()
+    packed = spark.read.text(path).inputFiles()
+    assert all(f.endswith(".csv.gz") for f in packed) and len(packed) >= n / 50
+    found = files.read_sessions(spark, path, "csv", rejected="bad")
+    assert found.count() == n and found.where("bearer_id % 7 = 0 AND NOT array_contains(bad, 'dur_ms')").isEmpty()
