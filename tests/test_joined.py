@@ -1,6 +1,8 @@
 """Reading the session view several times joins once; stored tables are small."""
 
 import hashlib
+import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from usagelens.operators.cleaning import clean
 from usagelens.sources import files
 from usagelens.sources.files import Manifest
 from usagelens.sources.warehouse import joined_rows, session_view
-from usagelens.workspace import materialise, shared_root
+from usagelens.workspace import SHUFFLE_CLEANUP, materialise, shared_root
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +81,17 @@ def test_written_csv_sessions_are_packed_in_bounded_files(spark, warehouse, monk
     assert all(f.endswith(".csv.gz") for f in packed) and len(packed) >= n / 50
     found = files.read_sessions(spark, path, "csv", rejected="bad")
     assert found.count() == n and found.where("bearer_id % 7 = 0 AND NOT array_contains(bad, 'dur_ms')").isEmpty()
+
+
+def test_shuffle_files_of_a_stored_table_go_with_its_write(spark, monkeypatch):
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+
+    def shuffled():
+        return {f for f in local.rglob("shuffle_*.data")}
+    before, asked = shuffled(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    kept = materialise(spark.range(1000).repartition(3, "id"), "dealt")
+    end = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < end:  # files are deleted in the background
+        time.sleep(0.1)
+    assert not shuffled() - before and kept.count() == 1000
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == asked
