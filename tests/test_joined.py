@@ -95,3 +95,11 @@ def test_shuffle_files_of_a_stored_table_go_with_its_write(spark, monkeypatch):
         time.sleep(0.1)
     assert not shuffled() - before and kept.count() == 1000
     assert spark.conf.get(SHUFFLE_CLEANUP, None) == asked
+
+
+def test_roundtrip_stores_its_input_as_joined_rows(spark, warehouse):
+    """The wide sessions are stored once, cleaned, and not also as the input."""
+    got = REGISTRY["cleaned_roundtrip"].frame(spark, warehouse)
+    stored = [p for p in Path(shared_root(spark).removeprefix("file:")).glob("sessions-*")]
+    assert stored and all("l_orderkey" in spark.read.parquet(str(p)).columns for p in stored)
+    assert got.count() == session_view(spark, warehouse).count()
